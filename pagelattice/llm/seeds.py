@@ -115,9 +115,9 @@ def repeats(rows: Rows, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     new_a[1:] = rows.a[1:] != rows.a[:-1]
     new_s = new_a.copy()
     new_s[1:] |= rows.s[1:] != rows.s[:-1]
-    if same_doc:
-        return new_a, new_s, ~new_s
     first = np.maximum.accumulate(np.where(new_s, np.arange(len(rows)), 0))
+    if same_doc:  # a repeated row is the same place
+        return new_a, new_s, (rows.doc_id != rows.doc_id[first]) | (rows.lo != rows.lo[first]) | (rows.th != rows.th[first])
     return new_a, new_s, rows.doc_id > rows.doc_id[first]
 
 
