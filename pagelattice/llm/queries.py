@@ -10,6 +10,8 @@ from pagelattice.llm.bpe import op3_bpe
 from pagelattice.llm.decontaminate import op9_decontaminate
 from pagelattice.llm.jaccard_join import op7_jaccard
 from pagelattice.llm.language_id import op2_language
+from pagelattice.llm.nearest import op8_nearest
+from pagelattice.llm.quality import op10_quality
 from pagelattice.llm.secret_scan import op6_secrets
 from pagelattice.llm.substring_dedup import op1_substring_dedup
 from pagelattice.llm.suffix_dedup import op5_suffix_dedup
@@ -21,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secrets": op6_secrets,
     "op7_jaccard": op7_jaccard,
+    "op8_nearest": op8_nearest,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}
