@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice.llm.bpe import op3_bpe
 from pagelattice.llm.decontaminate import op9_decontaminate
+from pagelattice.llm.html_text import op4_html_text
 from pagelattice.llm.jaccard_join import op7_jaccard
 from pagelattice.llm.language_id import op2_language
 from pagelattice.llm.nearest import op8_nearest
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
+    "op4_html_text": op4_html_text,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secrets": op6_secrets,
     "op7_jaccard": op7_jaccard,
