@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pagelattice.plans import lines, projections  # noqa: F401
+from pagelattice.plans import lines, neighbourhoods, projections  # noqa: F401
+from pagelattice.plans.neighbourhoods import flagship  # noqa: F401
 from pagelattice.plans.registry import ORACLE, QUERIES
 
 
