@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -19,7 +20,13 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held on both sides of the pipe to a worker.
+BATCH_ROWS = 2500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # nobody has chosen another number
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +66,12 @@ class Written:
         _drop(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose result is written: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

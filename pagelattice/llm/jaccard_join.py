@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import U64, WORDS_3, Written, mix, slices, table, text_buffer, word_hashes, word_spans
+from pagelattice.llm.common import U64, WORDS_3, Written, mix, release, slices, table, text_buffer, word_hashes, word_spans
 from pagelattice.llm.components import connected_components
 from pagelattice.llm.substring_dedup import keyed
 
@@ -37,6 +37,8 @@ THRESHOLD = 90
 #: Places of the frequency table: the top bits of a shingle's hash.
 TABLE_BITS = 16
 MAP_BITS = 512
+#: Sets with this many shingles have a wide map too.
+LARGE = 800
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[0x41:0x5B] += 32
 
@@ -103,7 +105,25 @@ def parity_map(keys: np.ndarray) -> bytes:
     return np.packbits((np.bincount(places, minlength=MAP_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-LISTED = "kind byte, key long, node long, n int, pos int, doc_id long, th int, map binary"
+def wide_map(keys: np.ndarray) -> bytes | None:
+    """A parity map of twice as many places as shingles, for sets that fill the common map."""
+    if len(keys) < LARGE:
+        return None
+    bits = 1 << (2 * len(keys) - 1).bit_length()
+    places = (mix(keys) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the difference of two sets from their wide maps; the larger map is folded onto the smaller."""
+    x, y = (np.frombuffer(m, U64) for m in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ folded).sum())
+
+
+LISTED = "kind byte, key long, node long, n int, pos int, doc_id long, th int, map binary, wide binary"
 DOC, POSTING = 0, 1
 
 
@@ -120,7 +140,7 @@ def _postings(width: int, percent: int, sent):
                     n = len(own)
                     node = int((mix(own).sum(dtype=U64) ^ mix(np.array([n], U64))[0]).view(np.int64))
                     # the row is dealt by document, not by node: a node may stand for a third of all rows
-                    docs.append((ids[i + k], node, n, parity_map(own) if node not in known else None, marks[i + k]))
+                    docs.append((ids[i + k], node, n, parity_map(own) if node not in known else None, marks[i + k], wide_map(own) if node not in known else None))
                     if n and node not in known:
                         known[node] = n
                         p = prefix_length(n, percent)
@@ -130,14 +150,14 @@ def _postings(width: int, percent: int, sent):
                         places.append(np.arange(p, dtype=np.int32))
                 d = len(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(d, DOC, np.int8)), pa.array([(x[0] or 0) * 0x9E3779B1 % (1 << 62) for x in docs], pa.int64()), pa.array([x[1] for x in docs], pa.int64()), pa.array([x[2] for x in docs], pa.int32()), pa.array(np.zeros(d, np.int32)), pa.array([x[0] for x in docs], pa.int64()), pa.array([x[4] for x in docs], pa.int32()), pa.array([x[3] for x in docs], pa.binary())],
-                    ["kind", "key", "node", "n", "pos", "doc_id", "th", "map"],
+                    [pa.array(np.full(d, DOC, np.int8)), pa.array([(x[0] or 0) * 0x9E3779B1 % (1 << 62) for x in docs], pa.int64()), pa.array([x[1] for x in docs], pa.int64()), pa.array([x[2] for x in docs], pa.int32()), pa.array(np.zeros(d, np.int32)), pa.array([x[0] for x in docs], pa.int64()), pa.array([x[4] for x in docs], pa.int32()), pa.array([x[3] for x in docs], pa.binary()), pa.array([x[5] for x in docs], pa.binary())],
+                    ["kind", "key", "node", "n", "pos", "doc_id", "th", "map", "wide"],
                 )
                 if keys:
                     m = sum(map(len, keys))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, POSTING, np.int8)), *(pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, places)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                        ["kind", "key", "node", "n", "pos", "doc_id", "th", "map"],
+                        [pa.array(np.full(m, POSTING, np.int8)), *(pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, places)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+                        ["kind", "key", "node", "n", "pos", "doc_id", "th", "map", "wide"],
                     )
 
     return run
@@ -297,9 +317,37 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    joined = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-    return joined.select("u", "v", "tu", "tv").mapInArrow(_verified(width, percent), "u long, v long")
+def _not_apart(percent: int):
+    """Of pairs (u, v, nu, nv, wu, wv): those that their wide maps, where both have one, leave a chance."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            most = n - 2 * least_common(n, percent)
+            ok = [a is None or b is None or wide_apart(a, b) <= m for a, b, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _thinned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in ("u", "v")]
+    joined = pairs.join(sides[0].hint("merge"), "u").join(sides[1].hint("merge"), "v")
+    return joined.select("u", "v", "nu", "nv", "wu", "wv").mapInArrow(_not_apart(percent), "u long, v long")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The written pairs whose texts' sets reach the threshold; only texts in some pair are moved."""
+    pairs = Written(_thinned(pairs, nodes, percent)).df
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = Written(_texts(rows, wanted.join(nodes.select("node", "rep"), "node").where("rep is not null")))
+    release(rows.sparkSession)
+    of = texts.df
+    joined = pairs.join(of.select(F.col("node").alias("v"), F.col("text").alias("tv")).hint("merge"), "v").join(of.select(F.col("node").alias("u"), F.col("text").alias("tu")).hint("merge"), "u")
+    out = Written(joined.select("u", "v", "tu", "tv").mapInArrow(_verified(width, percent), "u long, v long")).df
+    texts.drop()
+    release(rows.sparkSession)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
@@ -309,9 +357,10 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THR
     sent = spark.sparkContext.broadcast(frequency_ranks(rows, width))  # 2**TABLE_BITS numbers
     listed = rows.mapInArrow(_postings(width, percent, sent), LISTED).repartition("key").sortWithinPartitions("kind", "key", "node").mapInArrow(_shared, LISTED)
     listed = Written(listed).df
+    release(spark)
     members = listed.where(F.col("kind") == DOC).select("doc_id", "node", "n")
     rep = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))
-    nodes = listed.where(F.col("kind") == DOC).where("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.max("map").alias("map"))
+    nodes = listed.where(F.col("kind") == DOC).where("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.max("map").alias("map"), F.max("wide").alias("wide"))
     postings = listed.where(F.col("kind") == POSTING).select("key", "node", "n", "pos")
     shape = "u long, v long"
 
@@ -319,17 +368,15 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THR
         entries = entries.select("key", "node", "n", "pos", "comp", "map").repartition("key").sortWithinPartitions("key", "n", "pos", "node")
         return entries.mapInArrow(_candidates(percent, leaders_only), shape).distinct()
 
-    with_maps = postings.join(nodes.select("node", "map"), "node")
+    with_maps = postings.join(nodes.select("node", "map").hint("merge"), "node")
     first = Written(candidates(with_maps.withColumn("comp", F.col("node")), True)).df
-    # texts of the nodes under shared keys, by one document of each
-    wanted = postings.select("node").distinct().join(nodes.select("node", "rep"), "node").where("rep is not null")
-    texts = Written(_texts(rows, wanted)).df
-    links = Written(_links(first, texts, width, percent)).df
-    near = connected_components(links)
-    comps = Written(near).df
+    release(spark)
+    links = _links(first, nodes, rows, width, percent)
+    comps = Written(connected_components(links)).df
     entries = with_maps.join(comps.select("node", "label"), "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    second = candidates(entries, False).join(first, ["u", "v"], "left_anti")
-    more = Written(_links(second, texts, width, percent)).df
+    second = Written(candidates(entries, False).join(first, ["u", "v"], "left_anti")).df
+    release(spark)
+    more = _links(second, nodes, rows, width, percent)
     if more.limit(1).count():
         comps = Written(connected_components(links.union(more))).df
     # the smallest doc_id of each component; a set without links is its own component
@@ -343,7 +390,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THR
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, by the document that stands for each."""
     places = wanted.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
-    return rows.join(places, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
+    return rows.join(places.hint("merge"), ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

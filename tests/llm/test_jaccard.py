@@ -91,6 +91,16 @@ def test_bounds_never_lose_a_link():
         assert jaccard_join.may_link(np.array([len(a), len(b)]), pos, maps, np.array([0]), np.array([1]), 80).all()
 
 
+def test_wide_maps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(800, 6000)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random()], rng.integers(0, 1 << 63, 900, dtype=np.uint64)]))
+        found = jaccard_join.wide_apart(jaccard_join.wide_map(a), jaccard_join.wide_map(b))
+        assert found <= len(np.setxor1d(a, b))
+    assert jaccard_join.wide_map(a[:100]) is None
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     path = [(i, i + 1) for i in range(500, 700)]
