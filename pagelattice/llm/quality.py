@@ -9,7 +9,7 @@ document is kept if it does not exceed ``MARGIN`` times its language's quantile
 trusted documents.
 
 For scoring, the joined tables become one dense array over all ``ALPHABET ** ORDER`` n-grams,
-whose size is fixed whatever the corpus (64 MB); so a document's n-grams are looked up where
+whose size is fixed whatever the corpus (11 MB); so a document's n-grams are looked up where
 the document is. A join of each document's own n-grams with the tables would shuffle several
 times the input.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import SLICE_BYTES, Written, slices, table, text_buffer
 
 ORDER = 4
-ALPHABET = 64
+ALPHABET = 48
 QUANTILE = 0.999
 #: A document may exceed the quantile by this factor: the mean over the few symbols of a short text scatters widely.
 MARGIN = 1.3
@@ -162,7 +162,7 @@ def probability_tables(counts: DataFrame, order: int, size: int) -> tuple[list[D
 
 
 def dense_logs(probabilities: list[DataFrame], backs: list[DataFrame], order: int, size: int) -> np.ndarray:
-    """The log probability of the last symbol of every possible n-gram, by number: ``size ** order`` floats."""
+    """The log probability of the last symbol of every possible n-gram, by number: ``size ** order`` half floats."""
     log = np.full(1, np.log(1.0 / size), np.float32)
     for k in range(1, order + 1):
         back = np.zeros(size ** (k - 1), np.float32)
@@ -175,7 +175,7 @@ def dense_logs(probabilities: list[DataFrame], backs: list[DataFrame], order: in
         p = probabilities[k - 1].toPandas()
         now[p["gram"].to_numpy(int)] = np.log(p["p"].to_numpy(float))
         log = now
-    return log
+    return log.astype(np.float16)  # half the size to send; the sums are made in double
 
 
 @dataclass
@@ -184,6 +184,13 @@ class Model:
     logs: np.ndarray
     order: int
     size: int
+    held: object = None
+
+    def sent(self, spark: SparkSession):
+        """The model on every executor, sent once."""
+        if self.held is None:
+            self.held = spark.sparkContext.broadcast((self.alphabet.points, self.logs, self.order, self.size))
+        return self.held
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, sum of log probabilities) of each text."""
@@ -192,7 +199,7 @@ class Model:
             return np.zeros(len(texts), np.int64), np.zeros(len(texts))
         logs = self.logs[grams(self.alphabet.numbers(codes), owner, self.order, self.size)]
         n = np.bincount(owner, minlength=len(texts))
-        return n, np.bincount(owner, logs, minlength=len(texts))
+        return n, np.bincount(owner, logs.astype(np.float64), minlength=len(texts))
 
 
 def train(texts: DataFrame, order: int = ORDER, size: int = ALPHABET) -> Model | None:
@@ -208,28 +215,15 @@ def train(texts: DataFrame, order: int = ORDER, size: int = ALPHABET) -> Model |
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is labelled with quality 1 and toxic 0, and never otherwise."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).otherwise(0)).alias("good")).where("good = 1 and doc_id is not null").select("doc_id")
-    n = good.count()
-    if n > MOST_SENT_IDS:
-        return docs.join(good.hint("merge"), "doc_id", "left_semi")
-    ids = np.sort(good.toPandas()["doc_id"].to_numpy(np.int64)) if n else np.zeros(0, np.int64)
-    at = docs.columns.index("doc_id")
-
-    def run(batches):
-        for batch in batches:
-            own = batch.column(at)
-            known = np.array([x if x is not None else -1 for x in own.to_pylist()], np.int64)
-            place = np.minimum(np.searchsorted(ids, known), max(0, len(ids) - 1))
-            ok = (ids[place] == known) & own.is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(known), bool)
-            yield batch.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+    sent = F.broadcast(good) if good.count() <= MOST_SENT_IDS else good.hint("merge")
+    return docs.join(sent, "doc_id", "left_semi").select(*docs.columns)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``__n`` symbols and ``__perplexity`` (null without symbols)."""
     schema = docs.schema
     at = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast((model.alphabet.points, model.logs, model.order, model.size))
+    sent = model.sent(docs.sparkSession)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches):
