@@ -9,42 +9,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("img", "y").orderBy("x")
-COLUMN = Window.partitionBy("img", "x").orderBy("y")
+from pagelattice.operators.components import RING
+
+
+
+def row():
+    return Window.partitionBy("img", "y").orderBy("x")
+
+
+def column():
+    return Window.partitionBy("img", "x").orderBy("y")
 
 
 def box_sums(df: DataFrame, value: str, radius: int) -> DataFrame:
     """Adds s and q: sum and sum of squares of the (2 radius + 1)-box, null unless the box lies inside the image."""
     r, k = radius, 2 * radius + 1
-    row = ROW.rowsBetween(-r, r)
-    out = df.withColumn("__s", F.sum(value).over(row)).withColumn("__q", F.sum(F.col(value) * F.col(value)).over(row)).withColumn("__n", F.count("*").over(row))
-    column = COLUMN.rowsBetween(-r, r)
-    full = F.sum("__n").over(column) == k * k
-    return out.withColumn("s", F.when(full, F.sum("__s").over(column))).withColumn("q", F.when(full, F.sum("__q").over(column))).drop("__s", "__q", "__n")
+    along, down = row().rowsBetween(-r, r), column().rowsBetween(-r, r)
+    out = df.withColumn("__s", F.sum(value).over(along)).withColumn("__q", F.sum(F.col(value) * F.col(value)).over(along)).withColumn("__n", F.count("*").over(along))
+    full = F.sum("__n").over(down) == k * k
+    return out.withColumn("s", F.when(full, F.sum("__s").over(down))).withColumn("q", F.when(full, F.sum("__q").over(down))).drop("__s", "__q", "__n")
 
 
 def integral(df: DataFrame, value: str, out: str = "total") -> DataFrame:
     """The sum over everything above and to the left, the pixel included."""
-    rows = df.withColumn("__row", F.sum(value).over(ROW.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn(out, F.sum("__row").over(COLUMN.rowsBetween(Window.unboundedPreceding, 0))).drop("__row")
+    rows = df.withColumn("__row", F.sum(value).over(row().rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn(out, F.sum("__row").over(column().rowsBetween(Window.unboundedPreceding, 0))).drop("__row")
 
 
-def at(value: str | Column, step: int, window=ROW) -> Column:
+def at(value: str | Column, step: int, window=None) -> Column:
+    window = row() if window is None else window
     return F.lead(value, step).over(window) if step > 0 else F.lag(value, -step).over(window) if step < 0 else (F.col(value) if isinstance(value, str) else value)
 
 
 def sobel(df: DataFrame, value: str) -> DataFrame:
     """Adds gx and gy, null at the image's edge."""
     out = df.withColumn("__d", at(value, 1) - at(value, -1)).withColumn("__m", at(value, -1) + F.col(value) * 2 + at(value, 1))
-    return out.withColumn("gx", at("__d", -1, COLUMN) + F.col("__d") * 2 + at("__d", 1, COLUMN)).withColumn("gy", at("__m", 1, COLUMN) - at("__m", -1, COLUMN)).drop("__d", "__m")
+    return out.withColumn("gx", at("__d", -1, column()) + F.col("__d") * 2 + at("__d", 1, column())).withColumn("gy", at("__m", 1, column()) - at("__m", -1, column())).drop("__d", "__m")
 
 
 def smooth(df: DataFrame, value: str, weights: tuple[int, ...], out: str = "v") -> DataFrame:
     """Separable symmetric filter with integer weights (their squared sum divides the result), null near the edge."""
     r, total = len(weights) // 2, sum(weights) ** 2
-    along = sum((at(value, k - r) * w for k, w in enumerate(weights)), F.lit(0))
-    rows = df.withColumn("__h", along)
-    down = sum((at("__h", k - r, COLUMN) * w for k, w in enumerate(weights)), F.lit(0))
+    across = sum((at(value, k - r) * w for k, w in enumerate(weights)), F.lit(0))
+    rows = df.withColumn("__h", across)
+    down = sum((at("__h", k - r, column()) * w for k, w in enumerate(weights)), F.lit(0))
     return rows.withColumn(out, F.floor((down + total // 2) / total).cast("long")).drop("__h")
 
 
@@ -55,20 +63,18 @@ def gradient(df: DataFrame, value: str, out: str = "v2") -> DataFrame:
 
 def extreme(df: DataFrame, value: str, radius: int) -> DataFrame:
     """Adds lo and hi: minimum (erosion) and maximum (dilation) over the box, cut at the image's edge."""
-    row, column = ROW.rowsBetween(-radius, radius), COLUMN.rowsBetween(-radius, radius)
-    out = df.withColumn("__lo", F.min(value).over(row)).withColumn("__hi", F.max(value).over(row))
-    return out.withColumn("lo", F.min("__lo").over(column)).withColumn("hi", F.max("__hi").over(column)).drop("__lo", "__hi")
+    along, down = row().rowsBetween(-radius, radius), column().rowsBetween(-radius, radius)
+    out = df.withColumn("__lo", F.min(value).over(along)).withColumn("__hi", F.max(value).over(along))
+    return out.withColumn("lo", F.min("__lo").over(down)).withColumn("hi", F.max("__hi").over(down)).drop("__lo", "__hi")
 
 
-#: Bit k of a neighbour code is the pixel at this (dy, dx).
-RING = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))
 
 
 def ring(df: DataFrame, value: str) -> DataFrame:
     """Adds n0..n7, the neighbours in the order of ``RING`` (null outside)."""
     out = df.withColumns({f"__{d}": at(value, d) for d in (-1, 1)})
     pick = lambda dx: f"__{dx}" if dx else value
-    return out.withColumns({f"n{k}": at(pick(dx), dy, COLUMN) if dy else F.col(pick(dx)) for k, (dy, dx) in enumerate(RING)}).drop("__-1", "__1")
+    return out.withColumns({f"n{k}": at(pick(dx), dy, column()) if dy else F.col(pick(dx)) for k, (dy, dx) in enumerate(RING)}).drop("__-1", "__1")
 
 
 def lower_code(df: DataFrame, value: str, out: str = "code") -> DataFrame:

@@ -10,7 +10,7 @@ from pagelattice.operators import components as C
 from pagelattice.operators import neighbourhood as N
 from pagelattice.plans.registry import ORACLE, QUERIES, query
 
-PIX, g, c = ("img", "y", "x"), F.col("g"), F.col
+PIX, c = ("img", "y", "x"), F.col
 _ROW, _COL = "PARTITION BY img, y ORDER BY x", "PARTITION BY img, x ORDER BY y"
 _BOX = (
     ", rows5 AS (SELECT img, y, x, g, sum(g) OVER w AS s, sum(g * g) OVER w AS q, count(*) OVER w AS n FROM gray WINDOW w AS (" + _ROW + " ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), "
@@ -85,8 +85,8 @@ _SUM8 = " + ".join(f"n{k}" for k in range(8))
 def win10(spark, d):
     """The 3 x 3 patch of every interior pixel, as its sum and a weighted sum of its places."""
     r = N.ring(V.gray(spark, d), "g")
-    total = sum((c(f"n{k}") for k in range(8)), g)
-    weighted = sum((c(f"n{k}") * (k + 1) for k in range(8)), g * 9)
+    total = sum((c(f"n{k}") for k in range(8)), F.col("g"))
+    weighted = sum((c(f"n{k}") * (k + 1) for k in range(8)), F.col("g") * 9)
     return r.select(*PIX, total.alias("patch_sum"), weighted.alias("patch_hash")).where("patch_sum is not null")
 
 
@@ -143,7 +143,7 @@ def agg20(spark, d):
        f"h AS (SELECT img, y, x, lag(g, 1) OVER w + g * 2 + lead(g, 1) OVER w AS h FROM m WINDOW w AS ({_ROW})), v AS (SELECT img, y, x, (lag(h, 1) OVER w + h * 2 + lead(h, 1) OVER w + 8) // 16 AS v FROM h WINDOW w AS ({_COL})) SELECT img, y, x, CAST(CASE WHEN v > 128 THEN 255 ELSE 0 END AS BIGINT) AS v FROM v WHERE v IS NOT NULL")
 def sta13(spark, d):
     """Salt-and-pepper denoising: threshold, tile majority, blur, threshold."""
-    b = V.gray(spark, d).withColumn("g", F.when(g > 128, 255).otherwise(0).cast("long"))
+    b = V.gray(spark, d).withColumn("g", F.when(F.col("g") > 128, 255).otherwise(0).cast("long"))
     m = N.majority_tiles(b, "g").select(*PIX, c("v").alias("g"))
     return N.smooth(m, "g", (1, 2, 1)).where("v is not null").select(*PIX, F.when(c("v") > 128, 255).otherwise(0).cast("long").alias("v"))
 
@@ -290,7 +290,7 @@ def joi13(spark, d):
 @query("grf8", "")
 def grf8(spark, d):
     """Holes filled: what the background cannot reach from the edge."""
-    bright = V.gray(spark, d).where(g > 96).select(*PIX)
+    bright = V.gray(spark, d).where(F.col("g") > 96).select(*PIX)
     return C.border_flooded(bright, V.gray(spark, d).select(*PIX))
 
 

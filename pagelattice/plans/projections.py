@@ -8,7 +8,7 @@ from pagelattice import views as V
 from pagelattice.operators import pointwise as P
 from pagelattice.plans.registry import query
 
-g, P_ = F.col("g"), ("img", "y", "x")
+P_ = ("img", "y", "x")
 
 
 @query("prj1", "color", "SELECT img, y, x, (b * 114 + gr * 587 + r * 299) // 1000 AS gray FROM color")
@@ -37,12 +37,12 @@ def prj2(spark, d):
 
 @query("prj3", "gray", "SELECT img, y, x, CAST(g AS DOUBLE) / 255 AS v FROM gray")
 def prj3(spark, d):
-    return V.gray(spark, d).select(*P_, (g / 255).alias("v"))
+    return V.gray(spark, d).select(*P_, (F.col("g") / 255).alias("v"))
 
 
 @query("prj4", "gray", "SELECT img, y, x, CAST(floor(CAST(g AS DOUBLE) / 256 * 255) AS BIGINT) AS b, CAST(floor(CAST(g AS DOUBLE) / 256 * 255) AS BIGINT) AS gr, CAST(floor(CAST(g AS DOUBLE) / 256 * 255) AS BIGINT) AS r FROM gray")
 def prj4(spark, d):
-    v = P.visible(g / 256)
+    v = P.visible(F.col("g") / 256)
     return V.gray(spark, d).select(*P_, v.alias("b"), v.alias("gr"), v.alias("r"))
 
 
@@ -61,22 +61,22 @@ def prj6(spark, d):
 
 @query("prj7", "gray", "SELECT img, y, x, 255 - g AS v FROM gray")
 def prj7(spark, d):
-    return V.gray(spark, d).select(*P_, P.invert(g).alias("v"))
+    return V.gray(spark, d).select(*P_, P.invert(F.col("g")).alias("v"))
 
 
 @query("prj8", "gray", "SELECT img, y, x, CAST(CASE WHEN g > 128 THEN 255 ELSE 0 END AS BIGINT) AS v FROM gray")
 def prj8(spark, d):
-    return V.gray(spark, d).select(*P_, P.binarise(g, 128).alias("v"))
+    return V.gray(spark, d).select(*P_, P.binarise(F.col("g"), 128).alias("v"))
 
 
 @query("prj9", "gray", "SELECT img, y, x, CAST(CASE WHEN g > 128 THEN g ELSE 0 END AS BIGINT) AS v FROM gray")
 def prj9(spark, d):
-    return V.gray(spark, d).select(*P_, P.to_zero(g, 128).alias("v"))
+    return V.gray(spark, d).select(*P_, P.to_zero(F.col("g"), 128).alias("v"))
 
 
 @query("prj10", "gray", "SELECT img, y, x, g >= 128 AS v FROM gray")
 def prj10(spark, d):
-    return V.gray(spark, d).select(*P_, (g >= 128).alias("v"))
+    return V.gray(spark, d).select(*P_, (F.col("g") >= 128).alias("v"))
 
 
 @query("prj11", "color", "SELECT img, y, x, CAST(greatest(0, least(255, floor(CAST(b AS DOUBLE) * 1.5 + CAST(r AS DOUBLE) * -0.5 + 3 + 0.5))) AS BIGINT) AS v FROM color")
@@ -86,12 +86,12 @@ def prj11(spark, d):
 
 @query("prj12", "gray", "SELECT img, y, x, least(abs((g - 128) * 3), 255) AS v FROM gray")
 def prj12(spark, d):
-    return V.gray(spark, d).select(*P_, P.saturated_abs((g - 128) * 3).alias("v"))
+    return V.gray(spark, d).select(*P_, P.saturated_abs((F.col("g") - 128) * 3).alias("v"))
 
 
 @query("prj13", "gray", "SELECT img, y, x, g & 1 AS odd, g & 240 AS high FROM gray")
 def prj13(spark, d):
-    return V.gray(spark, d).select(*P_, g.bitwiseAND(1).alias("odd"), g.bitwiseAND(240).alias("high"))
+    return V.gray(spark, d).select(*P_, F.col("g").bitwiseAND(1).alias("odd"), F.col("g").bitwiseAND(240).alias("high"))
 
 
 @query("prj14", "mask dark", "SELECT img, y, x FROM mask UNION SELECT img, y, x FROM dark")
@@ -101,17 +101,17 @@ def prj14(spark, d):
 
 @query("prj15", "gray", "SELECT img, y, x, CASE WHEN (x + y) % 3 = 0 THEN 0 ELSE g END AS v FROM gray")
 def prj15(spark, d):
-    return V.gray(spark, d).select(*P_, F.when((F.col("x") + F.col("y")) % 3 == 0, F.lit(0).cast("long")).otherwise(g).alias("v"))
+    return V.gray(spark, d).select(*P_, F.when((F.col("x") + F.col("y")) % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("g")).alias("v"))
 
 
 @query("prj16", "gray", "SELECT img, y, x, CAST(g AS DOUBLE) AS v FROM gray")
 def prj16(spark, d):
-    return V.gray(spark, d).select(*P_, g.cast("double").alias("v"))
+    return V.gray(spark, d).select(*P_, F.col("g").cast("double").alias("v"))
 
 
 @query("prj17", "gray", "SELECT img, y, x, CASE WHEN g % 7 = 0 THEN 0.0::DOUBLE ELSE CAST(g AS DOUBLE) END AS v FROM gray")
 def prj17(spark, d):
-    odd = F.when(g % 7 == 0, F.lit(float("nan"))).otherwise(g.cast("double"))
+    odd = F.when(F.col("g") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("g").cast("double"))
     return V.gray(spark, d).select(*P_, P.without_nan(odd).alias("v"))
 
 
