@@ -232,3 +232,21 @@ def draw_line(canvas: np.ndarray, segment, value) -> None:
 def draw_rect(canvas: np.ndarray, x: int, y: int, w: int, h: int, value) -> None:
     for s in ((x, y, x + w - 1, y), (x, y + h - 1, x + w - 1, y + h - 1), (x, y, x, y + h - 1), (x + w - 1, y, x + w - 1, y + h - 1)):
         draw_line(canvas, s, value)
+
+
+def convolution_matrix(kernel: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The matrix that maps a flattened height x width image to its valid correlation with the kernel."""
+    kh, kw = kernel.shape
+    oh, ow = height - kh + 1, width - kw + 1
+    out = np.zeros((oh * ow, height * width))
+    for y in range(oh):
+        for x in range(ow):
+            for dy in range(kh):
+                out[y * ow + x, (y + dy) * width + x : (y + dy) * width + x + kw] = kernel[dy]
+    return out
+
+
+def equalize(gray: np.ndarray) -> np.ndarray:
+    """Levels spread by their cumulative share."""
+    share = np.cumsum(np.bincount(gray.ravel(), minlength=256)) / gray.size
+    return np.rint(255 * share)[gray].astype(np.uint8)

@@ -292,3 +292,22 @@ def grab_cut(bgr: np.ndarray, trimap: np.ndarray, rounds: int = 3, smooth: float
             break
         mask = now
     return mask.reshape(h, w)
+
+
+def color_contrast(bgr: np.ndarray) -> np.ndarray:
+    """Saliency of each colour alone: its distance to all colours of the image by their share."""
+    index, colors = quantize(bgr)
+    if len(colors) <= 1:
+        return np.zeros(index.shape)
+    lab = K.to_lab(colors[None])[0]
+    apart = np.sqrt(((lab[:, None] - lab[None]) ** 2).sum(-1))
+    share = np.bincount(index.ravel(), minlength=len(colors)) / index.size
+    return K.stretch((apart @ share)[index], 1.0)
+
+
+def flood_from(mask: np.ndarray, seeds: list[tuple[int, int]], steps=EIGHT) -> np.ndarray:
+    """The parts of a mask that contain a seed."""
+    label, _ = regions_of(mask, steps)
+    h, w = mask.shape
+    wanted = {int(label[y, x]) for y, x in seeds if 0 <= y < h and 0 <= x < w} - {-1}
+    return np.isin(label, list(wanted)) if wanted else np.zeros(mask.shape, bool)

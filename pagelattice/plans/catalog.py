@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelattice.plans import image_queries, lines, neighbourhoods, projections, regions, texts  # noqa: F401
+from pagelattice.plans import greedy_queries, image_queries, lines, neighbourhoods, projections, regions, texts  # noqa: F401
 from pagelattice.plans.neighbourhoods import flagship  # noqa: F401
 from pagelattice.plans.registry import ORACLE, QUERIES
 
