@@ -11,11 +11,13 @@ result; columns other than the text are never read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -26,10 +28,11 @@ from pagelattice.llm.common import table
 
 #: The published split pattern of byte-level BPE (a fixed value); white space is Unicode's, not Python's.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+ID_BITS = 24
 #: White space followed by a space, and the places before a space that follows anything else.
 AMID_SPACE, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-#: Chunks whose encoding a worker keeps; a full store becomes the old one, and the old one goes.
-KEPT = 300_000
+#: Chunks, and pre-tokens, whose encoding a worker keeps; a full store becomes the old one, and the old one goes.
+KEPT = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,75 +56,113 @@ class Vocabulary:
         back = {c: b for b, c in self.letters.items()}
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in s if c in back) for s, i in self.ids.items()}
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left id << ID_BITS | right id -> rank; and the id that a rank makes
+        self.merges: dict[int, int] = {}
+        self.made_by: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.merges[self.ids[a] << ID_BITS | self.ids[b]] = rank
+            self.made_by.append(self.ids[a + b])
         self.byte_ids = [self.ids[self.letters[b]] for b in range(256)]
+        self.byte_ranks = [self.merges.get(x << ID_BITS | y, -1) for x in self.byte_ids for y in self.byte_ids]
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Applies the merges to one pre-token: lowest rank first, leftmost first among equals."""
-        n = len(symbols)
+        if max(self.bytes_of) > 0xFFFF:
+            raise ValueError("ids beyond 65535 don't fit into two bytes")
+        self.said = [f"{i}," for i in range(max(self.bytes_of) + 1)]
+        self.kept = KEPT
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def merge(self, text: bytes) -> list[int]:
+        """The ids of one pre-token: lowest rank first, leftmost first among equals.
+
+        ``rank_at`` holds the rank of each symbol with the one after it; a queue entry
+        ``rank << places | place`` is stale if that has changed.
+        """
+        n = len(text)
+        symbols = [self.byte_ids[b] for b in text]
         if n < 2:
             return symbols
+        get, made_by = self.merges.get, self.made_by
+        places = max(16, n.bit_length())
+        pair = self.byte_ranks
+        rank_at = [pair[x << 8 | y] for x, y in zip(text, text[1:])]
+        rank_at.append(-1)
+        queue = [r << places | i for i, r in enumerate(rank_at) if r >= 0]
+        if not queue:
+            return symbols
+        heapify(queue)
+        here = (1 << places) - 1
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        merges = self.merges
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((symbols[i], symbols[i + 1]))
-            if found:
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        heapq.heapify(queue)
         while queue:
-            _, i, a, b, made = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
+            top = heappop(queue)
+            i = top & here
+            rank = top >> places
+            if rank_at[i] != rank:
                 continue  # stale
-            symbols[i], symbols[j] = made, -1
+            j = after[i]
+            symbols[i] = made = made_by[rank]
+            symbols[j] = rank_at[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                found = merges.get((made, symbols[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, made, symbols[k], found[1]))
+                rank_at[i] = rank = get(made << ID_BITS | symbols[k], -1)
+                if rank >= 0:
+                    heappush(queue, rank << places | i)
+            else:
+                rank_at[i] = -1
             h = before[i]
             if h >= 0:
-                found = merges.get((symbols[h], made))
-                if found:
-                    heapq.heappush(queue, (found[0], h, symbols[h], made, found[1]))
+                rank_at[h] = rank = get(symbols[h] << ID_BITS | made, -1)
+                if rank >= 0:
+                    heappush(queue, rank << places | h)
         return [s for s in symbols if s >= 0]
 
-    def pre_token(self, text: str) -> list[int]:
+    def pre_token(self, text: str) -> bytes:
+        """The ids of one pre-token, packed."""
         found = self.words.get(text)
+        if found is not None:
+            return found
+        found = self.old_words.get(text)
         if found is None:
-            found = self.merge([self.byte_ids[b] for b in text.encode()])
-            if len(text) <= 48:
-                if len(self.words) >= KEPT:
-                    self.words.clear()
-                self.words[text] = found
+            found = array("H", self.merge(text.encode())).tobytes()
+            if len(text) > 48:
+                return found
+        if len(self.words) >= self.kept:
+            self.old_words = self.words
+            self.words = {}
+        self.words[text] = found
         return found
 
-    def chunk(self, text: str) -> tuple[int, str, bytes]:
-        """(number of ids, decimal ids with a comma after each, decoded bytes) of a text without special tokens."""
-        ids = [i for t in self.split.findall(text) for i in self.pre_token(t)]
-        return len(ids), "".join([f"{i}," for i in ids]), self.decode_bytes(ids)
-
-    def after_space(self, text: str) -> tuple[int, str, bytes]:
-        found = self.old.get(text) or self.chunk(" " + text)
-        if len(text) <= 48:
-            if len(self.known) >= KEPT:
-                self.old = dict(self.known)
-                self.known.clear()
-            self.known[text] = found
+    def chunk(self, text: str) -> bytes:
+        """The packed ids of a text without special tokens."""
+        return b"".join([self.pre_token(t) for t in self.split.findall(text)])
+
+    def after_space(self, text: str) -> bytes:
+        found = self.known.get(text) or self.old.get(text)
+        if found is None:
+            if text.isalpha():
+                return self.pre_token(" " + text) if len(text) > 48 else self.keep(text, self.pre_token(" " + text))
+            if text[-1:] in (",", ".") and text[:-1].isalpha():
+                found = self.pre_token(" " + text[:-1]) + self.pre_token(text[-1])
+            else:
+                found = self.chunk(" " + text)
+            if len(text) > 48:
+                return found
+        return self.keep(text, found)
+
+    def keep(self, text: str, found: bytes) -> bytes:
+        if len(self.known) >= self.kept:
+            self.old = self.known
+            self.known = {}
+        self.known[text] = found
         return found
 
-    def ordinary(self, text: str) -> list[tuple[int, str, bytes]]:
-        """The chunks of a text without special tokens.
+    def ordinary(self, text: str) -> list[bytes]:
+        """The packed ids of the chunks of a text without special tokens.
 
         A space that follows a character other than white space always begins a pre-token,
         so the text may be cut there and each chunk looked up as a whole.
@@ -137,17 +178,17 @@ class Vocabulary:
             out.insert(0, self.chunk(first))
         return out
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, two bytes each."""
         out, start = [], 0
         for m in self.at_special.finditer(text) if self.at_special else ():
             out += self.ordinary(text[start : m.start()])
-            i = self.special[m[0]]
-            out.append((1, f"{i},", self.bytes_of[i]))
+            out.append(array("H", [self.special[m[0]]]).tobytes())
             start = m.end()
-        return out + self.ordinary(text[start:] if start else text)
+        return b"".join(out + self.ordinary(text[start:] if start else text))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(",")[:-1]]
+        return array("H", self.packed(text)).tolist()
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -191,26 +232,26 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
     return docs.withColumn(text, run(F.col(ids)))
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, path: str | None = None, kept: int = KEPT) -> DataFrame:
     """Per document the number of tokens and digests of the ids and of the decoded text.
 
-    One pass without a shuffle. A worker keeps the encodings of at most ``KEPT`` short chunks.
+    One pass without a shuffle. A worker keeps the encodings of at most ``2 * kept`` short chunks, and as many pre-tokens.
     """
     path = path or default_path()
 
     def run(batches):
         v = vocabulary(path)
+        v.kept = kept
+        gc.collect()
+        gc.freeze()  # the vocabulary and the stores hold no cycles; looking through them again and again takes a tenth of the time
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for t in batch.column(1).to_pylist():
-                n, ids, back = 0, [], []
-                if t:
-                    found = v.pieces(t)
-                    n = sum([x[0] for x in found])
-                    ids, back = [x[1] for x in found], [x[2] for x in found]
-                counts.append(n)
-                ids_sha.append(hashlib.sha256("".join(ids)[:-1].encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(back).decode("utf-8", "replace").encode()).hexdigest())
+                ids = v.encode(t) if t else []
+                said, back = v.said, v.bytes_of
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256("".join([said[i] for i in ids])[:-1].encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join([back[i] for i in ids]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
