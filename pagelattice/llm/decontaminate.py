@@ -191,20 +191,23 @@ def blocks_of(benchmark: DataFrame, most: int) -> list[DataFrame]:
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Each row of ``docs`` with ``n_words``, ``hits`` (array of [start, end) word ranges) and ``items`` (array of item ids).
+def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish, schema: str) -> DataFrame:
+    """``finish(columns, n_words, hits, items)`` of every batch: hit word ranges and sorted item ids of each row.
 
-    One pass without a shuffle for each block of the benchmark.
+    One pass without a shuffle for each block of the benchmark; the last one finishes.
     """
-    schema = docs.schema
-    at = docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    names = docs.columns
+    at = names.index("text")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
-    for number, block in enumerate(blocks_of(benchmark, block_words)):
+    blocks = blocks_of(benchmark, block_words)
+    for number, block in enumerate(blocks):
         rows = [(r["item_id"], r["text"]) for r in block.collect()]  # bounded by block_words
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
-        def run(batches, sent=sent, number=number):
+        last_block = number == len(blocks) - 1
+
+        def run(batches, sent=sent, number=number, last_block=last_block):
             bench = Benchmark(sent.value, window)
             for batch in batches:
                 data, offsets = text_buffer(batch.column(at))
@@ -216,15 +219,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     found = scan(bench, word_hashes(part, starts, ends), first)
                     hits += [found[k][0] if k in found else [] for k in range(j - i)]
                     items += [sorted({bench.ids[x] for x in found[k][1]} - {None}) if k in found else [] for k in range(j - i)]
-                columns = [batch.column(c) for c in range(batch.num_columns)]
+                columns = [batch.column(c) for c in range(len(names))]
                 if number:  # join the findings of the blocks before
-                    hits = [a + b for a, b in zip(columns[-2].to_pylist(), hits)]
-                    items = [sorted({*a, *b}) for a, b in zip(columns[-1].to_pylist(), items)]
-                columns = columns[: len(schema)]
-                arrays = [*columns, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*[f.name for f in schema], "__n_words", "__hits", "__items"])
+                    hits = [united(a + b) for a, b in zip(batch.column(len(names)).to_pylist(), hits)]
+                    items = [sorted({*a, *b}) for a, b in zip(batch.column(len(names) + 1).to_pylist(), items)]
+                if last_block:
+                    yield finish(columns, n_words, hits, items)
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], [*names, "__hits", "__items"])
 
-        out = out.mapInArrow(run, f"{ddl}, __n_words long, __hits array<array<int>>, __items array<string>")
+        out = out.mapInArrow(run, schema if last_block else f"{ddl}, __hits array<array<int>>, __items array<string>")
     return out
 
 
@@ -274,47 +278,42 @@ def united(hits) -> list[list[int]]:
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: words, hit words, items with occurring windows and the digest of their ids."""
-    found = contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, block_words=block_words).drop("text")
 
-    def run(batches):
-        for batch in batches:
-            ids, n_words, hits, items = batch.columns
-            n_hit = [sum(b - a for a, b in united(x)) for x in hits.to_pylist()]
-            items = items.to_pylist()
-            yield pa.RecordBatch.from_arrays([ids, n_words, pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([sha(",".join(x).encode()) for x in items], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def finish(columns, n_words, hits, items):
+        n_hit = [sum(b - a for a, b in x) for x in hits]
+        arrays = [columns[0], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([sha(",".join(x).encode()) for x in items], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _streamed(rows, benchmark, window, block_words, finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.5) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` with the hit words cut out of ``text``; a document of which more than ``most_share`` is hit goes.
 
     A document without hits keeps its text byte for byte; null text stays null. The columns are those of ``docs``.
     """
-    schema = docs.schema
-    at = docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    found = contamination(docs, benchmark, window)
-
-    def run(batches):
-        for batch in batches:
-            keep, texts = [], []
-            for t, n, hits in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist(), batch.column(len(schema) + 1).to_pylist()):
-                hits = united(hits)
-                keep.append(not hits or sum(b - a for a, b in hits) <= most_share * n)
-                if hits and keep[-1]:
-                    raw = t.encode()
+    names = docs.columns
+    at = names.index("text")
+
+    def finish(columns, n_words, hits, _):
+        keep = [not x or sum(b - a for a, b in x) <= most_share * n for n, x in zip(n_words, hits)]
+        if any(hits):
+            texts = columns[at].to_pylist()
+            for k, x in enumerate(hits):
+                if x and keep[k]:
+                    raw = texts[k].encode()
                     _, starts, ends = words_of(raw)
                     out, last = [], 0
-                    for a, b in hits:
+                    for a, b in x:
                         out.append(raw[last : starts[a]])
                         last = int(ends[b - 1])
-                    t = b"".join([*out, raw[last:]]).decode()
-                texts.append(t)
-            columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(schema))]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema]).filter(pa.array(keep, pa.bool_()))
+                    texts[k] = b"".join([*out, raw[last:]]).decode()
+            columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, ddl)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return _streamed(docs, benchmark, window, block_words, finish, ddl)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,20 +190,19 @@ def spans_of(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[int, int
     return [m.span() for m in compiled.finditer(text) if len(m[rule.group]) >= rule.least]
 
 
-def scan_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row and ``found``: array of (kind, start, end), by start, then rule order.
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str, keep: tuple[str, ...], finish, schema: str) -> DataFrame:
+    """``finish(columns, texts, found)`` of every batch: the columns ``keep``, the text column, and for each row the
+    (start, rule number, end) found, by start, then rule.
 
     One pass without a shuffle; an index covers one slice of about a megabyte at a time.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    schema = docs.select(*keep).schema
-    names = [f.name for f in schema]
 
     def run(batches):
         compiled = [(i, r, queries[r.kind], quick(r)) for i, r in enumerate(rules)]
         index = TrigramIndex(set().union(*[_wanted(q, set()) for q in queries.values()]))
         for batch in batches:
-            column = batch.column(len(names))
+            column = batch.column(len(keep))
             data, offsets = text_buffer(column)
             found: list[list] = [[] for _ in range(len(column))]
             for i, j in slices(offsets):
@@ -216,12 +215,24 @@ def scan_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
                             t = texts[k] = column[i + k].as_py() or ""
                         for a, b in spans_of(r, pattern, t):
                             found[i + k].append((a, n, b))
-            rows = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in sorted(x)] for x in found]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(names))], pa.array(rows, kind)], [*names, "found"])
+            yield finish([batch.column(c) for c in range(len(keep))], column, [sorted(x) for x in found])
+
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def scan_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of each row and ``found``: array of (kind, start, end), by start, then rule order."""
+
+    def finish(columns, _, found):
+        rows = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in x] for x in found]
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*keep, "found"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{ddl}, found array<struct<kind: string, start: int, end: int>>")
+    return _scanned(docs, rules, text, keep, finish, f"{_ddl(docs.select(*keep))}, found array<struct<kind: string, start: int, end: int>>")
 
 
 def quick(rule: Rule) -> re.Pattern:
@@ -243,38 +254,38 @@ def redact(text: str, spans, mark: str = "[secret]") -> str:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with every secret in ``text`` replaced; null text stays null."""
-    found = scan_spans(docs, rules, keep=tuple(docs.columns))
-    schema = docs.schema
-    at = docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    names = tuple(docs.columns)
+    at = names.index("text")
 
-    def run(batches):
-        for batch in batches:
-            texts = [redact(t, [(x["start"], x["end"]) for x in s], mark) if t and s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist())]
-            columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(schema))]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+    def finish(columns, column, found):
+        if any(found):
+            texts = column.to_pylist()
+            for k, spans in enumerate(found):
+                if spans:
+                    texts[k] = redact(texts[k], [(a, b) for a, _, b in spans], mark)
+            columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, list(names))
 
-    return found.mapInArrow(run, ddl)
+    return _scanned(docs, rules, "text", names, finish, _ddl(docs))
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document counts of the base kinds, the digest of the base spans, and all spans."""
     base = [r.kind for r in rules if r.base]
 
-    def run(batches):
-        for batch in batches:
-            counts = {k: [] for k in base}
-            digests, spans = [], []
-            for row in batch.column(1).to_pylist():
-                for k in base:
-                    counts[k].append(sum(x["kind"] == k for x in row))
-                said = [(x["kind"], f"{x['kind']}:{x['start']}:{x['end']}") for x in row]
-                digests.append(sha(",".join(s for k, s in said if k in base).encode()))
-                spans.append(",".join(s for _, s in said))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[k], pa.int64()) for k in base], pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans"])
-
-    found = scan_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules)
-    return found.mapInArrow(run, "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string")
+    def finish(columns, _, found):
+        counts = {k: [] for k in base}
+        digests, spans = [], []
+        for row in found:
+            said = [(rules[n].kind, f"{rules[n].kind}:{a}:{b}") for a, n, b in row]
+            for k in base:
+                counts[k].append(sum(kind == k for kind, _ in said))
+            digests.append(sha(",".join(s for k, s in said if k in base).encode()))
+            spans.append(",".join(s for _, s in said))
+        return pa.RecordBatch.from_arrays([columns[0], *[pa.array(counts[k], pa.int64()) for k in base], pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans"])
+
+    schema = "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string"
+    return _scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules, "text", ("doc_id",), finish, schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
