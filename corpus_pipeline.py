@@ -14,6 +14,8 @@ from pagelattice.llm.common import Written, table
 
 #: Near duplicates of the pipeline: shingles of five words, 80 % of them shared.
 SHINGLE, PERCENT = 5, 80
+#: Chunks whose encoding a worker keeps; fewer than in the query alone, since workers of other stages wait beside it.
+KEPT_CHUNKS = 60_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: each document's number of tokens and the digests of its ids and of its decoded text."""
-    return bpe.digest(docs)
+    return bpe.digest(docs, kept=KEPT_CHUNKS)
 
 
 STAGES = [

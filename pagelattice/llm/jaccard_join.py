@@ -4,15 +4,15 @@ Method: every distinct set of shingles is one node. Shingles are ordered from ra
 common by a fixed-size frequency table over all documents, and a node is listed under its
 rarest ones (its prefix), so linked nodes meet in a list. The lists are read by size and
 position: blocks of entries whose size, or whose position in the prefix, cannot reach the
-threshold are skipped as a whole, and a 512-bit parity map of each set bounds the
+threshold are skipped as a whole, and a 1024-bit parity map of each set bounds the
 difference of what is left.
 
-Answers are derived from those of highly similar sets: in a list each set is first tried
-against the leaders found so far and follows the first that it may match, which costs one
-exact comparison for each set rather than one for each pair. When those comparisons have
-joined the sets into components, the lists are read again, and a pair is compared only if
-its sets are not joined already, so that a group of thousands of near copies is never
-compared pair by pair. No link between different components is missed: every pair in a
+Answers are derived from those of highly similar sets: in a list each set is first compared
+exactly with the one set that its map is nearest to, and takes over that set's answers if
+they link. When those comparisons have joined the sets into components, each set outside a
+list's main component is compared with the nearest one of another component. Then the lists
+are read again, and a pair is compared only if its sets are not joined already, so that a
+group of thousands of near copies is never compared pair by pair. No link between different components is missed: every pair in a
 list that passes the bounds is either joined by then or compared.
 
 Defined results: null text, or text without words, has an empty set and links with
@@ -36,7 +36,9 @@ SHINGLE = 3
 THRESHOLD = 90
 #: Places of the frequency table: the top bits of a shingle's hash.
 TABLE_BITS = 16
-MAP_BITS = 512
+MAP_BITS = 1024
+#: Turns in which each set proposes the nearest one of another component, before all others are compared.
+NEAREST_TURNS = 2
 #: Sets with this many shingles have a wide map too.
 LARGE = 800
 UPPER = np.arange(256, dtype=np.uint8)
@@ -194,72 +196,70 @@ def _shared(batches):
         carry = (batch.slice(len(key) - 1, 1), bool(several[-1]))
 
 
-def may_link(n: np.ndarray, pos: np.ndarray, maps: np.ndarray, i, j, percent: int) -> np.ndarray:
-    """Whether size, position and parity map leave pairs (i, j) of entries a chance; never false for a link at its first list."""
-    a, b = n[i].astype(np.int64), n[j].astype(np.int64)
+def apart(n: np.ndarray, pos: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """For pairs (i, j) of entries the least difference of their sets by the maps over the largest that links them;
+    over 1, and infinite where size or position rules a pair out, it is no link at its first list."""
+    a, b = n[i], n[j]
     need = least_common(a + b, percent)
-    ok = (np.minimum(a, b) >= need) & (np.minimum(a - pos[i], b - pos[j]) >= need)
-    if ok.any():
-        ii = i if np.isscalar(i) else i[ok]
-        jj = j if np.isscalar(j) else j[ok]
-        apart = np.bitwise_count(maps[ii] ^ maps[jj]).sum(axis=-1, dtype=np.int64)
-        total = (a + b)[ok] if np.ndim(a + b) else a + b
-        near = apart <= total - 2 * (need[ok] if np.ndim(need) else need)
-        ok[ok] = near
-    return ok
-
-
-def list_pairs(n, pos, maps, comp, percent: int, leaders_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries of one list to compare; entries are ordered by size."""
-    m, n = len(n), n.astype(np.int64)
-    left, right = [], []
-    if leaders_only:
-        heads: list[int] = []
-        for i in range(m):
-            # sizes only grow along the list: the block of leaders that are too small for this entry is skipped
-            while heads and 100 * n[heads[0]] < percent * n[i]:
-                heads.pop(0)
-            if heads:
-                h = np.array(heads)
-                fits = np.flatnonzero(may_link(n, pos, maps, np.full(len(h), i), h, percent))
-                if len(fits):
-                    left.append(int(h[fits[0]]))
-                    right.append(i)
-                    continue
-            heads.append(i)
-        return np.array(left, int), np.array(right, int)
+    out = np.full(len(i), np.inf)
+    ok = np.flatnonzero((np.minimum(a, b) >= need) & (np.minimum(a - pos[i], b - pos[j]) >= need))
+    if len(ok):
+        differ = np.bitwise_count(maps[i[ok]] ^ maps[j[ok]]).sum(axis=-1, dtype=np.int64)
+        most = (a + b)[ok] - 2 * need[ok]
+        out[ok] = np.where(differ <= most, differ / np.maximum(most, 1), np.inf)
+    return out
+
+
+def list_pairs(n, pos, maps, comp, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one list to compare; entries are ordered by size.
+
+    ``nearest``: each entry with the one it seems nearest to. Else every pair of different components that may link.
+    """
+    m = len(n)
     names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.zeros(0, int), np.zeros(0, int)
+    left, right = [], []
     main = int(count.argmax())
     low = np.searchsorted(n, -(-percent * n // 100))
     high = np.searchsorted(n, 100 * n // percent, "right")
-    for i in np.flatnonzero(which != main).tolist():
-        j = np.arange(low[i], high[i])  # the block of sizes that can link
-        j = j[(which[j] != which[i]) & ((which[j] == main) | (j > i))]
-        if len(j):
-            j = j[may_link(n, pos, maps, np.full(len(j), i), j, percent)]
+    for i in range(m) if len(names) == m else np.flatnonzero(which != main).tolist():
+        j = np.arange(low[i], high[i])  # the block of sizes that can link; the rest of the list is skipped
+        j = j[which[j] != which[i]]
+        if not nearest:
+            j = j[(which[j] == main) | (j > i)]
+        if not len(j):
+            continue
+        far = apart(n, pos, maps, np.full(len(j), i), j, percent)
+        if nearest:
+            best = int(far.argmin())
+            if far[best] < np.inf:
+                left.append(np.array([i]))
+                right.append(j[best : best + 1])
+        else:
+            j = j[far < np.inf]
             left.append(np.full(len(j), i))
             right.append(j)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _candidates(percent: int, leaders_only: bool):
+def _candidates(percent: int, nearest: bool):
     """Of postings (key, node, n, pos, comp, map) dealt by key and ordered by (key, n, pos, node): pairs of nodes to compare."""
 
     def pairs(batch):
         key, node, n, pos, comp = (batch.column(c).to_numpy() for c in range(5))
-        maps = np.frombuffer(b"".join(batch.column(5).to_pylist()), U64).reshape(len(key), MAP_BITS // 64)
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        maps = text_buffer(batch.column(5))[0].view(U64).reshape(len(key), MAP_BITS // 64)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(begin, len(key)))
         left, right = [], []
         two = begin[size == 2]
         if len(two):
-            ok = may_link(n, pos, maps, two, two + 1, percent) & (comp[two] != comp[two + 1])
+            ok = (apart(n, pos, maps, two, two + 1, percent) < np.inf) & (comp[two] != comp[two + 1])
             left.append(two[ok])
             right.append(two[ok] + 1)
         for b, s in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-            x, y = list_pairs(n[b : b + s], pos[b : b + s], maps[b : b + s], comp[b : b + s], percent, leaders_only)
+            x, y = list_pairs(n[b : b + s], pos[b : b + s], maps[b : b + s], comp[b : b + s], percent, nearest)
             left.append(x + b)
             right.append(y + b)
         if not left:
@@ -364,21 +364,23 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THR
     postings = listed.where(F.col("kind") == POSTING).select("key", "node", "n", "pos")
     shape = "u long, v long"
 
-    def candidates(entries, leaders_only):
+    def candidates(entries, nearest):
         entries = entries.select("key", "node", "n", "pos", "comp", "map").repartition("key").sortWithinPartitions("key", "n", "pos", "node")
-        return entries.mapInArrow(_candidates(percent, leaders_only), shape).distinct()
+        return entries.mapInArrow(_candidates(percent, nearest), shape).distinct()
 
     with_maps = postings.join(nodes.select("node", "map").hint("merge"), "node")
-    first = Written(candidates(with_maps.withColumn("comp", F.col("node")), True)).df
-    release(spark)
-    links = _links(first, nodes, rows, width, percent)
-    comps = Written(connected_components(links)).df
-    entries = with_maps.join(comps.select("node", "label"), "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    second = Written(candidates(entries, False).join(first, ["u", "v"], "left_anti")).df
-    release(spark)
-    more = _links(second, nodes, rows, width, percent)
-    if more.limit(1).count():
-        comps = Written(connected_components(links.union(more))).df
+    entries = with_maps.withColumn("comp", F.col("node"))
+    tested, links, comps = None, None, None
+    for turn in range(NEAREST_TURNS + 1):
+        pairs = candidates(entries, turn < NEAREST_TURNS)
+        pairs = Written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")).df
+        release(spark)
+        found = _links(pairs, nodes, rows, width, percent)
+        if links is None or found.limit(1).count():
+            links = found if links is None else links.union(found)
+            comps = Written(connected_components(links)).df
+        tested = pairs if tested is None else tested.union(pairs)
+        entries = with_maps.join(comps.select("node", "label"), "node", "left").withColumn("comp", F.coalesce("label", "node"))
     # the smallest doc_id of each component; a set without links is its own component
     of_node = nodes.join(comps, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce("label", "node").alias("label"))
     smallest = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
