@@ -71,8 +71,12 @@ def runs(grams: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[n
 ROWS = "kind byte, a long, s long, doc_id long, th int, lo int, n int"
 COLUMNS = ("kind", "a", "s", "doc_id", "th", "lo", "n")
 KINDS = (np.int8, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
-#: kind: REMOVED rows are windows (lo, n) that a smaller place holds too; OPEN rows are yet to be compared.
-REMOVED, OPEN = 0, 1
+#: kind: REMOVED rows are windows (lo, n) that a smaller place holds too; OPEN rows are yet to be compared at
+#: their anchor. WIDE rows hang on an anchor with so many texts that they are compared window by window at once;
+#: PASSED rows are such rows on their way, dealt evenly instead of to the anchor.
+REMOVED, OPEN, WIDE, PASSED = 0, 1, 2, 3
+#: Different run texts on one anchor within a batch that make the anchor a wide one.
+MANY = 6
 
 
 @dataclass
@@ -146,48 +150,69 @@ def merged(rows: Rows) -> Rows:
 
 
 def settle_here(parts: list[Rows], same_doc: bool):
-    """Batches for the rows of one task's batch: what equal runs within it remove already, and the rest."""
+    """Batches for the rows of one task's batch: what equal runs within it remove already, and the rest.
+
+    Of an anchor with many texts two rows go on to it, after a mark that tells it so; the others pass it by.
+    """
     rows = order(Rows.joined(parts))
-    if len(rows):
-        _, _, gone = repeats(rows, same_doc)
-        if gone.any():
-            yield spread(merged(rows.take(gone))).batch(REMOVED)
-        yield rows.take(~gone).batch(OPEN)
+    if not len(rows):
+        return
+    new_a, new_s, gone = repeats(rows, same_doc)
+    if gone.any():
+        yield spread(merged(rows.take(gone))).batch(REMOVED)
+    group = np.cumsum(new_a) - 1
+    texts = np.bincount(group, new_s)
+    text = np.cumsum(new_s)
+    nth = text - text[np.maximum.accumulate(np.where(new_a, np.arange(len(rows)), 0))]  # of its anchor's texts
+    wide = texts[group] > MANY
+    told = new_a & wide
+    if told.any():  # a row without windows sorts before the anchor's own and marks it
+        mark = rows.take(told)
+        mark.s, mark.n = np.full(len(mark), np.iinfo(np.int64).min), np.zeros(len(mark), np.int32)
+        yield mark.batch(OPEN)
+    for kind, these in ((OPEN, ~gone & (~wide | (nth < 2))), (PASSED, ~gone & wide & (nth >= 2))):
+        if these.any():
+            out = rows.take(these)
+            yield (spread(out) if kind == PASSED else out).batch(kind)
 
 
 def settle(batches, same_doc: bool):
-    """Of rows ordered by (a, s, doc_id, lo) and dealt by ``a``: REMOVED rows, and as OPEN rows the
-    first of each run text whose anchor has several run texts, which must be compared window by window.
+    """Of rows ordered by (a, s, doc_id, lo) and dealt by ``a``: REMOVED rows, and the first of each run text whose
+    anchor has several, which must be compared further: OPEN, or WIDE where the anchor is marked as a wide one.
 
     Streams: only the rows of one run text in one document are held, however many rows an anchor has.
     """
-    carry, several = None, False
+    carry, several, marked = None, False, None
     for batch in batches:
         kind, rows = from_batch(batch)
-        passed = kind == REMOVED
-        if passed.any():
-            yield rows.take(passed).batch(REMOVED)
-            rows = rows.take(~passed)
+        for k, as_ in ((REMOVED, REMOVED), (PASSED, WIDE)):
+            if (kind == k).any():
+                yield rows.take(kind == k).batch(as_)
+        rows = rows.take(kind == OPEN)
+        marks = rows.a[rows.n == 0]
+        rows = rows.take(rows.n > 0)
         if not len(rows):
+            marked = marks[-1] if len(marks) else marked
             continue
         if carry is not None:
             rows = Rows.joined([carry, rows])
+        wide = np.isin(rows.a, marks if marked is None else np.append(marks, marked))
+        marked = marks[-1] if len(marks) else marked
         new_a, new_s, gone = repeats(rows, same_doc)
         group = np.cumsum(new_a) - 1
-        texts = np.bincount(group, new_s)
-        mixed = texts > 1
-        if several:
-            if carry is not None:
-                mixed[0] = True
+        mixed = np.bincount(group, new_s) > 1
+        if several and carry is not None:
+            mixed[0] = True
         last = group == group[-1]
         tail = np.cumsum(new_s)
         tail = tail == tail[-1]
         if gone.any():
             yield merged(rows.take(gone)).batch(REMOVED)
-        out = ~gone & mixed[group] & ~(last & tail)
-        if out.any():
-            yield rows.take(out).batch(OPEN)
+        out = ~gone & (mixed[group] | wide) & ~(last & tail)
+        for k, these in ((OPEN, out & ~wide), (WIDE, out & wide)):
+            if these.any():
+                yield rows.take(these).batch(k)
         carry = rows.take(~gone & last & tail)
-        several = bool(mixed[-1])
+        several, broad = bool(mixed[-1]) or bool(wide[-1]), bool(wide[-1])
     if carry is not None and several:
-        yield carry.batch(OPEN)
+        yield carry.batch(WIDE if broad else OPEN)

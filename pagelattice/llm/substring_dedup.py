@@ -10,7 +10,9 @@ holds are united into maximal repeats and cut.
 Nothing is compared pair by pair: equal runs (and then equal windows) meet by their
 128-bit hashes, ordered by doc_id, and all but the smallest are marked. A task settles its
 own copies before the shuffle, so a passage held by a third of all documents reaches the
-anchor's task once for each batch of rows; that task streams and holds one run.
+anchor's task once for each batch of rows; of a common line with other text around it each
+time, two rows and a mark do, and the rest goes on to its windows at once. The task streams
+and holds one run.
 
 Defined results: null or empty text has no words and keeps none; rows with the same
 doc_id are one place and don't remove each other; a null doc_id neither removes nor is
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import WORDS_1, WORDS_2, Written, sha, slices, table, text_buffer, text_key, word_hashes, word_spans
-from pagelattice.llm.seeds import OPEN, REMOVED, ROWS, Rows, runs, settle, settle_here
+from pagelattice.llm.seeds import REMOVED, ROWS, Rows, runs, settle, settle_here
 
 WIDTH = 50
 GRAM = 25
@@ -96,7 +98,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     """Rows (doc_id, th, text, found): each document with the ranges (lo, n) of its repeated windows, null if none."""
     rows = keyed(docs)
     first = Written(_settled(rows.where("doc_id is not null").mapInArrow(_runs(width, gram), ROWS)))
-    listed = first.df.where(F.col("kind") == OPEN).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    listed = first.df.where(F.col("kind") != REMOVED).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     keys = ["doc_id", "th"]
     windows = rows.join(listed, keys, "left").select("doc_id", "th", "text", "runs").mapInArrow(_windows(width), ROWS)
     second = _settled(windows)

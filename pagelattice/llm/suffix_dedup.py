@@ -9,10 +9,10 @@ the matching statistics of every text position are streamed: between two samples
 matched position moves on by one and the length falls by one. Positions whose length
 reaches ``WIDTH`` are chained to what they match; all but the first of a chain are marked.
 
-An index covers at most about ``BLOCK_BYTES``. An anchor with more distinct bytes than
-that (a common line with other text around it each time) is not gathered: its windows are
-dealt out again by their own 128-bit hashes and settled there, so no task holds a group
-that grows with the corpus.
+An index covers at most about ``BLOCK_BYTES``. The rows of an anchor with many texts (a
+common line with other text around it each time), or with more distinct bytes than that,
+are not gathered: their windows are dealt by their own 128-bit hashes and settled there,
+so no task holds a group that grows with the corpus.
 
 Defined results: texts are UTF-8 bytes, null counts as empty; a match never crosses
 documents; the order is doc_id, then start; rows that repeat a doc_id and its text are one
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.llm.common import BYTE_VALUES, BYTES_1, BYTES_2, Written, sha, slices, table, text_buffer
-from pagelattice.llm.seeds import COLUMNS, OPEN, REMOVED, ROWS, Rows, merged, runs, settle, settle_here, spread
+from pagelattice.llm.seeds import COLUMNS, REMOVED, ROWS, WIDE, Rows, merged, runs, settle, settle_here, spread
 from pagelattice.llm.substring_dedup import keyed
 
 WIDTH = 100
@@ -63,8 +63,28 @@ def _runs(width: int, gram: int):
     return run
 
 
-def _pieces(width: int):
-    """Of rows (doc_id, th, text, runs): a row with the bytes of each listed run."""
+PIECES = "a long, doc_id long, th int, lo int, n int, bytes binary, s long, kind byte"
+PIECE_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int8())
+PIECE_NAMES = ["a", "doc_id", "th", "lo", "n", "bytes", "s", "kind"]
+
+
+def _windows(rows, width: int):
+    """Batches of the windows of rows (a, doc_id, th, lo, n, bytes), settled as far as they meet here."""
+    raw = np.frombuffer(b"".join([r[5] for r in rows]), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])])[:-1]
+    n = np.array([r[4] for r in rows])
+    piece = np.repeat(np.arange(len(rows)), n)
+    offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    at = begin[piece] + offset
+    values = BYTE_VALUES[raw]
+    one = BYTES_1.ranges(BYTES_1.prefix(values), at, at + width)
+    two = BYTES_2.ranges(BYTES_2.prefix(values), at, at + width)
+    doc_id, th, lo = (np.array([r[c] for r in rows], np.int64)[piece] for c in (1, 2, 3))
+    yield from settle_here([Rows(one.view(np.int64), two.view(np.int64), doc_id, th.astype(np.int32), (lo + offset).astype(np.int32), np.ones(len(at), np.int32))], same_doc=True)
+
+
+def _pieces(width: int, most: int = 4096):
+    """Of rows (doc_id, th, text, runs): a row with the bytes of each listed run, and the windows of the wide ones (without bytes)."""
 
     def run(batches):
         for batch in batches:
@@ -74,13 +94,17 @@ def _pieces(width: int):
             doc_id, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data, offsets = text_buffer(batch.column(2))
             raw = data.tobytes()
-            out: list[tuple] = []
+            out, wide = [], []
             for k, found in enumerate(listed.to_pylist()):
                 at = int(offsets[k])
                 for x in found or ():
-                    out.append((x["a"], doc_id[k], th[k], x["lo"], x["n"], raw[at + x["lo"] : at + x["lo"] + x["n"] + width - 1]))
+                    row = (x["a"], doc_id[k], th[k], x["lo"], x["n"], raw[at + x["lo"] : at + x["lo"] + x["n"] + width - 1], 0, 0)
+                    (wide if x["kind"] == WIDE else out).append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["a", "doc_id", "th", "lo", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PIECE_KINDS)], PIECE_NAMES)
+            for i in range(0, len(wide), most):
+                for made in _windows(wide[i : i + most], width):
+                    yield pa.RecordBatch.from_arrays([*(made.column(made.schema.get_field_index(c)) for c in ("a", "doc_id", "th", "lo", "n")), pa.nulls(made.num_rows, pa.binary()), made.column(made.schema.get_field_index("s")), made.column(0)], PIECE_NAMES)
 
     return run
 
@@ -197,22 +221,17 @@ def _indexed(width: int, block_bytes: int):
             yield spread(merged(found)).batch(REMOVED)
 
     def windows(rows):
-        raw = np.frombuffer(b"".join([r[5] for r in rows]), np.uint8)
-        begin = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])])[:-1]
-        n = np.array([r[4] for r in rows])
-        piece = np.repeat(np.arange(len(rows)), n)
-        offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[piece] + offset
-        values = BYTE_VALUES[raw]
-        one = BYTES_1.ranges(BYTES_1.prefix(values), at, at + width)
-        two = BYTES_2.ranges(BYTES_2.prefix(values), at, at + width)
-        doc_id, th, lo = (np.array([r[c] for r in rows], np.int64)[piece] for c in (1, 2, 3))
-        yield from settle_here([Rows(one.view(np.int64), two.view(np.int64), doc_id, th.astype(np.int32), (lo + offset).astype(np.int32), np.ones(len(at), np.int32))], same_doc=True)
+        return _windows(rows, width)
 
     def run(batches):
         held, size = [], 0  # whole groups, ready for an index
         group, group_size, over = [], 0, None
         for batch in batches:
+            made = batch.column(5).is_null()
+            if made.true_count:  # windows on their way
+                passed = batch.filter(made)
+                yield pa.RecordBatch.from_arrays([passed.column(passed.schema.get_field_index(c)) for c in COLUMNS], list(COLUMNS))
+                batch = batch.filter(batch.column(5).is_valid())
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and r[0] != group[0][0]:
                     if over == group[0][0]:
@@ -254,8 +273,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bloc
     keys = ["doc_id", "th"]
     once = rows.where("doc_id is not null")
     first = Written(_settled(once.mapInArrow(_runs(width, gram), ROWS)))
-    listed = first.df.where(F.col("kind") == OPEN).groupBy(*keys).agg(F.collect_list(F.struct("a", "lo", "n")).alias("runs"))
-    pieces = rows.join(listed, keys, "left").select("doc_id", "th", "text", "runs").mapInArrow(_pieces(width), "a long, doc_id long, th int, lo int, n int, bytes binary")
+    listed = first.df.where(F.col("kind") != REMOVED).groupBy(*keys).agg(F.collect_list(F.struct("a", "lo", "n", "kind")).alias("runs"))
+    pieces = rows.join(listed, keys, "left").select("doc_id", "th", "text", "runs").mapInArrow(_pieces(width), PIECES)
     marked = pieces.repartition("a").sortWithinPartitions("a", "doc_id", "th", "lo").mapInArrow(_indexed(width, block_bytes), ROWS)
     second = _settled(marked)
     gone = first.df.where(F.col("kind") == REMOVED).select(*COLUMNS).union(second.where(F.col("kind") == REMOVED))

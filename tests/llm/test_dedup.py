@@ -91,6 +91,28 @@ def test_bytes_match_brute_force(spark, tmp_path):
     assert suffix_dedup.op5_suffix_dedup(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_common_lines_and_passages(spark):
+    """One line and one passage in most documents, with other text around them: wide anchors."""
+    rng = random.Random(21)
+    line = " ".join(f"line{k}" for k in range(30))
+    passage = " ".join(f"pass{k}" for k in range(60))
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for d in range(150):
+        parts = [word() for _ in range(rng.randrange(1, 30))] + [line] + [word() for _ in range(rng.randrange(1, 30))]
+        if d % 3:
+            parts += [passage] + [word() for _ in range(rng.randrange(3))]
+        rows.append((d, " ".join(parts)))
+    rows += [(200 + k, rows[4][1]) for k in range(40)]
+    want = brute_words(rows)
+    found = substring_dedup.digest(docs(spark, rows).repartition(3)).collect()
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in found) and len(found) == len(rows)
+    want = brute_bytes(rows)
+    for block in (1 << 20, 3000):
+        found = suffix_dedup.digest(docs(spark, rows).repartition(3), block_bytes=block).collect()
+        assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in found) and len(found) == len(rows)
+
+
 def test_run_length_index_statistics():
     rng = random.Random(9)
     for _ in range(60):
