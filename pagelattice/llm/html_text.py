@@ -122,6 +122,8 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] in CONTAINERS or stack[k][0] in ("ul", "ol"):
                         break
+            if name == "body":  # ends a head that nobody closed
+                stack = [e for e in stack if e[0] not in HEAD]
             stack.append(element(name, m[4]))
     if at < len(page):
         pieces.append(page[at:])

@@ -14,6 +14,7 @@ def test_blocks_fold_space_and_decode():
     found = html_text.blocks(page)
     assert [b.text for b in found] == ["A & bc d", "two", "three", "l1", "l2", "1 < 2"]
     assert found[1].path[-2:] == ("p", ".xx") and found[3].linked == 2 and "li" not in found[5].path
+    assert [b.text for b in html_text.blocks("<html><head><title>T</title><body><p>a<b>b</b>")] == ["ab"]
     assert html_text.blocks("") == [] and html_text.blocks("plain")[0].text == "plain"
 
 
