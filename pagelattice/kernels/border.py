@@ -180,3 +180,41 @@ def flatten(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
     except np.linalg.LinAlgError:
         return image
     return np.clip(out + 0.5, 0, 255).astype(np.uint8)
+
+
+def real_quadrangle(edges: np.ndarray, corners: np.ndarray) -> float | None:
+    """Summed support of the four sides; None if one of them is no line."""
+    scores = []
+    for k in range(4):
+        side = tuple(np.rint([*corners[k], *corners[(k + 1) % 4]]).astype(int).tolist())
+        scores.append(line_score(edges, side))
+        if scores[-1] is None:
+            return None
+    return float(sum(scores))
+
+
+def text_outline(boxes: list[tuple[int, int, int, int]], frame: tuple[int, int]) -> np.ndarray | None:
+    """A quadrangle around the largest block of text boxes: its edges run through the first and last boxes of each band of lines."""
+    if len(boxes) < 2:
+        return None
+    b = np.array(sorted(boxes, key=lambda r: (r[1] + r[3] / 2, r[0])), float)
+    mid = b[:, 1] + b[:, 3] / 2
+    cuts = np.flatnonzero(np.diff(mid) > 2.5 * np.median(b[:, 3])) + 1
+    block = max(np.split(np.arange(len(b)), cuts), key=len)
+    own = b[block]
+    band = np.floor((own[:, 1] - own[:, 1].min()) / max(20.0, float(np.median(own[:, 3])))).astype(int)
+    rows = np.unique(band)
+    left = np.array([own[band == k, 0].min() for k in rows])
+    right = np.array([(own[band == k, 0] + own[band == k, 2]).max() for k in rows])
+    ys = np.array([own[band == k, 1].mean() for k in rows])
+    h, w = frame
+    top, bottom = own[:, 1].min(), (own[:, 1] + own[:, 3]).max()
+
+    def edge(xs, pick):
+        k, c = np.polyfit(ys, xs, 1) if len(ys) > 1 else (0.0, float(pick(xs)))
+        c += float(pick(xs - (k * ys + c)))
+        return [float(np.clip(k * y + c, 0, w - 1)) for y in (top, bottom)]
+
+    lt, lb = edge(left, np.min)
+    rt, rb = edge(right, np.max)
+    return np.array([[lt, top], [rt, top], [rb, min(bottom, h - 1)], [lb, min(bottom, h - 1)]])

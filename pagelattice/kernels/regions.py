@@ -311,3 +311,27 @@ def flood_from(mask: np.ndarray, seeds: list[tuple[int, int]], steps=EIGHT) -> n
     h, w = mask.shape
     wanted = {int(label[y, x]) for y, x in seeds if 0 <= y < h and 0 <= x < w} - {-1}
     return np.isin(label, list(wanted)) if wanted else np.zeros(mask.shape, bool)
+
+
+#: Six of the eight neighbours, as the fill that looks back along a row and to the next one sees them.
+SIX = ((0, 1), (1, 0), (1, 1), (0, -1), (-1, 0), (1, -1))
+
+
+def reached_regions(mask: np.ndarray, offsets=SIX) -> np.ndarray:
+    """Labels (-1 outside) of a fill from each unlabelled pixel in raster order over the given, not necessarily symmetric, offsets."""
+    h, w = mask.shape
+    out = np.full((h, w), -1)
+    label = 0
+    for y, x in zip(*np.nonzero(mask)):
+        if out[y, x] >= 0:
+            continue
+        out[y, x] = label
+        queue = [(int(y), int(x))]
+        for cy, cx in queue:
+            for dy, dx in offsets:
+                ny, nx = cy + dy, cx + dx
+                if 0 <= ny < h and 0 <= nx < w and mask[ny, nx] and out[ny, nx] < 0:
+                    out[ny, nx] = label
+                    queue.append((ny, nx))
+        label += 1
+    return out

@@ -383,3 +383,42 @@ def recognize(gray: np.ndarray) -> str:
             letters += name
         out.append(letters)
     return "\n".join(out)
+
+
+def color_regions(bgr: np.ndarray, params: RegionParams = RegionParams(), levels: int = 40) -> list[np.ndarray]:
+    """Stable colour regions (flat pixel indices): neighbours merge by rising chi-squared distance of their colours;
+    a region is kept at a level over which it hardly grows. Levels rise with the square root of the distance."""
+    from pagelattice.kernels.regions import DisjointSets, grid_edges
+
+    h, w = bgr.shape[:2]
+    one, two, _ = grid_edges(bgr)
+    a, b = bgr.reshape(-1, bgr.shape[-1])[one].astype(float), bgr.reshape(-1, bgr.shape[-1])[two].astype(float)
+    chi = ((a - b) ** 2 / np.maximum(a + b, 1)).sum(1)
+    order = np.lexsort((two, one, chi))
+    cuts = chi.max(initial=0) * np.linspace(0, 1, levels + 1)[:-1] ** 2
+    sets = DisjointSets(h * w)
+    at, kept, before = 0, {}, {}
+    for t in cuts:
+        while at < len(order) and chi[order[at]] <= t:
+            p, q = sets.find(one[order[at]]), sets.find(two[order[at]])
+            if p != q:
+                sets.join(p, q)
+            at += 1
+        root = np.array([sets.find(i) for i in range(h * w)])
+        names, first, size = np.unique(root, return_index=True, return_counts=True)
+        now = {int(f): (int(n), int(s)) for f, n, s in zip(first, names, size)}
+        for f, (n, s) in now.items():
+            if f in before and params.least <= s <= params.most and (s - before[f]) <= params.variation * before[f] and f not in kept:
+                kept[f] = np.flatnonzero(root == n)
+        before = {f: s for f, (_, s) in now.items()}
+    return [kept[f] for f in sorted(kept)]
+
+
+def keypoints(regions: list[np.ndarray], width: int) -> list[tuple[float, float, float]]:
+    """(x, y, diameter) of the ellipse with each region's moments."""
+    out = []
+    for r in regions:
+        y, x = r // width, r % width
+        cov = np.cov(np.stack([x, y])) if len(r) > 1 else np.zeros((2, 2))
+        out.append((float(x.mean()), float(y.mean()), 4 * float(np.sqrt(np.sqrt(max(np.linalg.det(cov), 0))))))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagelattice import views as V
@@ -12,6 +13,7 @@ from pagelattice.operators import greedy
 from pagelattice.plans import neighbourhoods as N
 from pagelattice.plans import stages as S
 from pagelattice.plans.registry import ORACLE, QUERIES, query
+from pagelattice.sources import codecs
 
 c = F.col
 
@@ -119,3 +121,117 @@ def geo3(spark, d):
 def sta13_kernel(spark, d):
     """Ink share after the denoising kernel."""
     return S.number_of(S.gray_images(spark, d), lambda a: round(float((pages.salt_pepper_denoise(a) == 0).mean()), 6), "ink")
+
+
+def _numbers(name, source, measure):
+    def run(spark, d):
+        return S.number_of(source(spark, d), measure, "v")
+
+    query(name)(run)
+
+
+def _three(a):
+    return a if a.ndim == 3 else np.repeat(a[..., None], 3, 2)
+
+
+def _tiny(a, side=16):
+    return filters.resize(a, side, side).astype("uint8")
+
+
+def _trimap(a):
+    t = np.full(a.shape[:2], 128, np.uint8)
+    t[:2], t[6:10, 6:10] = 0, 255
+    return t
+
+
+def _grid_cut(a):
+    h, w = a.shape
+    one, two, weight = regions.grid_edges(a)
+    edges = {(i, j): 256 - x for i, j, x in zip(one.tolist(), two.tolist(), weight.tolist())}
+    edges |= {(j, i): x for (i, j), x in list(edges.items())}
+    return round(regions.min_cut(edges, h * w, 0, h * w - 1)[0], 6)
+
+
+def _joined(a):
+    """Sets left when neighbours of equal band are joined."""
+    band = (a // 64).ravel()
+    sets = regions.DisjointSets(a.size)
+    one, two, _ = regions.grid_edges(a)
+    for p, q in zip(one[band[one] == band[two]].tolist(), two[band[one] == band[two]].tolist()):
+        p, q = sets.find(p), sets.find(q)
+        if p != q:
+            sets.join(p, q)
+    return len({sets.find(i) for i in range(a.size)})
+
+
+def _ranked(a):
+    x = _tiny(a).astype(float) / 255
+    w = regions.rank_weights([(x[k], x[k + 1]) for k in range(len(x) - 1)], 5)
+    return round(float(w.sum()), 6)
+
+
+def _corners(a, mask=None):
+    found = border.page_border(a, mask)
+    return -1.0 if found is None else round(float(np.abs(found).sum()), 3)
+
+
+_numbers("grf1", S.gray_images, lambda a: _joined(_tiny(a, 64)))
+_numbers("grf6", S.gray_images, lambda a: int(regions.reached_regions(a > 160).max()) + 1)
+_numbers("grf11", S.gray_images, lambda a: _grid_cut(_tiny(a)))
+_numbers("grf14", S.gray_images, lambda a: len(text.color_regions(_three(_tiny(a, 48)))))
+_numbers("grf15", S.gray_images, lambda a: round(sum(k[2] for k in text.keypoints(text.extremal_regions(a), a.shape[1])), 6))
+_numbers("flt22", S.gray_images, lambda a: sum(len(r) for r in text.extremal_regions(a, text.RegionParams(variation=0.1))))
+_numbers("flt15", S.gray_images, lambda a: border.real_quadrangle(filters.canny(a, 100, 300), np.array([[5, 5], [a.shape[1] - 6, 5], [a.shape[1] - 6, a.shape[0] - 6], [5, a.shape[0] - 6]], float)) or -1.0)
+_numbers("geo7", S.gray_images, lambda a: _corners(a, a > 128))
+_numbers("geo8", S.gray_images, lambda a: _corners(a))
+_numbers("geo12", S.page_images, lambda a: float(text.page_kind(a)) * 10 + len(text.components_of(a < 128)) % 10)
+_numbers("sta2", S.gray_images, lambda a: round(float(regions.gaussian_mixture(_three(_tiny(a, 32)).reshape(-1, 3) + np.arange(3) * 0.5, 3)[0].max()), 6))
+_numbers("sta3", S.gray_images, lambda a: round(float(regions.grab_cut(_three(_tiny(a)), _trimap(_tiny(a)), 2, 5.0).mean()), 6))
+_numbers("sta4", S.gray_images, _ranked)
+_numbers("arr1", S.gray_images, lambda a: round(float((filters.convolution_matrix(np.array([[-0.5, 0, 0.5]]), 16, 16) @ _tiny(a).astype(float).ravel()).sum()), 6))
+_numbers("arr2", S.gray_images, lambda a: round(float(np.linalg.svd(_tiny(a).astype(float), compute_uv=False)[0]), 4))
+_numbers("src8", S.gray_images, lambda a: float((codecs.read_vlib(codecs.write_vlib(a)) == a).mean()))
+_numbers("snk1", S.gray_images, lambda a: float((codecs.read_png(codecs.write_png(a)) == a).mean()))
+_numbers("src2", S.gray_images, lambda a: float(filters.to_gray(_three(a)).mean().round(6)))
+
+
+@query("geo14")
+def geo14(spark, d):
+    """Size of the flattened text block of every page."""
+    def flat(a):
+        corners = border.text_outline([p.box for p in text.components_of(a < 128)], a.shape)
+        return a if corners is None else border.flatten(a, corners)
+
+    return S.map_images(S.page_images(spark, d), flat).select("image_id", c("image.height").alias("height"), c("image.width").alias("width"))
+
+
+@query("prj23")
+def prj23(spark, d):
+    """Boxes of the components drawn over the page."""
+    def draw(a):
+        out = _three(a).copy()
+        for p in text.components_of(a < 128):
+            filters.draw_rect(out, *p.box, (0, 0, 255))
+        return out
+
+    return S.map_images(S.page_images(spark, d), draw).select("image_id", F.md5("image.data").alias("md5"))
+
+
+@query("mth10", "", None)
+def mth10(spark, d):
+    """Gamma quantiles at the sizes of parts: the constant of a configuration, on the driver."""
+    table = [(k, float(round(pages.gamma_quantile(0.95, k / 2, 2.0), 9))) for k in range(1, 60)]
+    q = spark.createDataFrame(table, "p_size int, quantile double")
+    return V.load(spark, d, "part").select("p_partkey", "p_size").join(F.broadcast(q), "p_size").select("p_partkey", "quantile")
+
+
+@query("api6")
+def api6(spark, d):
+    """The older preset on rendered pages."""
+    return S.legacy(S.page_images(spark, d)).select("image_id", c("image.height").alias("height"), F.md5("image.data").alias("md5"))
+
+
+@query("ocr2")
+def ocr2(spark, d):
+    """Recognised text after the clean-up steps."""
+    return S.text_of(S.map_images(S.page_images(spark, d), S.step("binarize"), S.step("deskew")))

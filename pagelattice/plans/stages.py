@@ -223,4 +223,5 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
                 images.append(to_struct(text.render(lines), f"page/{i}"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, IMAGE_TYPE)], ["image_id", "image"])
 
-    return items.repartition("image_id").mapInArrow(run, IMAGE_ROWS)
+    # kernels cost far more than their rows weigh: a fixed number keeps adaptive execution from making one partition of them
+    return items.repartition(4 * spark.sparkContext.defaultParallelism, "image_id").mapInArrow(run, IMAGE_ROWS)

@@ -214,3 +214,33 @@ def test_rank_weights_order_pairs():
     up, down = np.array([1.0, 0.0, 2.0]), np.array([0.0, 1.0, 1.0])
     w = regions.rank_weights([(up, down)])
     assert w @ up > w @ down
+
+
+def test_colour_regions_and_keypoints():
+    a = np.full((30, 30, 3), 200, np.uint8)
+    a[5:12, 6:16] = (20, 40, 160)
+    found = text.color_regions(a, text.RegionParams(least=10, most=200))
+    assert [len(r) for r in found] == [70]
+    (x, y, d), = text.keypoints(found, 30)
+    assert (x, y) == (10.5, 8.0) and 7 < d < 13
+
+
+def test_asymmetric_fill_and_flood():
+    m = np.zeros((4, 4), bool)
+    m[0, 3] = m[1, 2] = m[2, 1] = m[3, 0] = True
+    assert regions.reached_regions(m).max() == 0 and regions.reached_regions(m[:, ::-1]).max() == 0
+    assert regions.flood_from(m, [(2, 1)]).sum() == 4 and not regions.flood_from(m, [(0, 0)]).any()
+
+
+def test_convolution_matrix():
+    rng = np.random.default_rng(1)
+    a, k = rng.normal(size=(6, 7)), rng.normal(size=(2, 3))
+    want = [[float((a[y : y + 2, x : x + 3] * k).sum()) for x in range(5)] for y in range(5)]
+    assert np.allclose((filters.convolution_matrix(k, 6, 7) @ a.ravel()).reshape(5, 5), want)
+
+
+def test_text_outline_holds_the_block():
+    boxes = [(30 + 20 * k, 40 + 25 * r, 15, 18) for r in range(5) for k in range(8)]
+    q = border.text_outline(boxes, (300, 300))
+    assert q[0].tolist() == [30.0, 40.0] and abs(q[2][0] - 185) < 1e-6 and q[2][1] == 158
+    assert border.text_outline(boxes[:1], (300, 300)) is None
