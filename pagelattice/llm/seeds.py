@@ -125,6 +125,22 @@ def repeats(rows: Rows, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return new_a, new_s, rows.doc_id > rows.doc_id[first]
 
 
+def chained(rows: Rows) -> Rows:
+    """Of ordered rows: equal runs of one document that follow each other without a gap (text that repeats itself) as
+    one, since what removes one of them removes all."""
+    if not len(rows):
+        return rows
+    on = np.zeros(len(rows), bool)
+    on[1:] = rows.lo[1:] == rows.lo[:-1] + rows.n[:-1]
+    for c in ("a", "s", "doc_id", "th"):
+        v = getattr(rows, c)
+        on[1:] &= v[1:] == v[:-1]
+    begin = np.flatnonzero(~on)
+    out = rows.take(begin)
+    out.n = np.add.reduceat(rows.n, begin).astype(np.int32)
+    return out
+
+
 def spread(rows: Rows) -> Rows:
     """Removed rows with an anchor that is spread evenly: they only pass through the next shuffle."""
     mixed = (rows.doc_id.astype(np.int64) * np.int64(-7046029254386353131)) ^ (rows.lo.astype(np.int64) * np.int64(0x2545F4914F6CDD1D))
@@ -157,6 +173,7 @@ def settle_here(parts: list[Rows], same_doc: bool):
     rows = order(Rows.joined(parts))
     if not len(rows):
         return
+    rows = rows if same_doc else chained(rows)
     new_a, new_s, gone = repeats(rows, same_doc)
     if gone.any():
         yield spread(merged(rows.take(gone))).batch(REMOVED)
