@@ -1,17 +1,18 @@
 """Operator 10: a quality classifier from an interpolated modified Kneser-Ney model.
 
-Method: the symbols (characters folded to an alphabet of at most ``ALPHABET``) of all trusted
-documents are counted as n-grams; each task counts its own first, the counts are summed by
-n-gram. The tables of counts, continuation counts, contexts and suffixes are sharded by their
-keys and joined order by order into the interpolated probability of every n-gram seen and the
-back-off weight of every context. A document's perplexity is the mean over its symbols, and a
-document is kept if it does not exceed ``MARGIN`` times its language's quantile over the
-trusted documents.
-
-For scoring, the joined tables become one dense array over all ``ALPHABET ** ORDER`` n-grams,
-whose size is fixed whatever the corpus (11 MB); so a document's n-grams are looked up where
-the document is. A join of each document's own n-grams with the tables would shuffle several
-times the input.
+Method: the symbols (characters folded by ``fold``; every code point of the trusted documents has
+its own) of all trusted documents are counted as n-grams; each task counts its own first, the
+counts are summed by n-gram. The tables of counts, continuation counts, contexts and suffixes are
+sharded by their keys and joined order by order into the interpolated probability of every n-gram
+seen and the back-off weight of every context. A document's perplexity is the mean over its
+symbols, and a document is kept if it does not exceed ``MARGIN`` times its language's quantile
+over the trusted documents. All code points that no trusted document has are one symbol, never
+seen: such symbols are alike to the model.
+
+The tables hold what was seen and grow with the corpus. Up to ``MOST_SENT_GRAMS`` rows they are
+sent to the tasks, which look n-grams up where the documents are. Beyond it they stay sharded:
+the different n-grams of all documents are joined with them order by order, and each document's
+own n-grams, counted first, are joined with the result. Both ways give the same sums.
 
 Trusted: labelled with quality 1 and toxic 0. All of them are used. Their ids are sent to the
 tasks up to ``MOST_SENT_IDS``; beyond it documents and labels are joined by shuffle.
@@ -26,8 +27,10 @@ pass through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +38,14 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import SLICE_BYTES, Written, slices, table, text_buffer
 
 ORDER = 4
-ALPHABET = 48
 QUANTILE = 0.999
 #: A document may exceed the quantile by this factor: the mean over the few symbols of a short text scatters widely.
 MARGIN = 1.3
 MOST_SENT_IDS = 1_000_000
+#: Rows of all tables of a model that is sent to the tasks, at most 24 bytes each.
+MOST_SENT_GRAMS = 2_000_000
+#: Different n-grams that a task holds while it counts; more are passed on in parts.
+MOST_HELD_GRAMS = 1_000_000
 
 
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +71,14 @@ class Alphabet:
 
     points: np.ndarray
 
-    def numbers(self, codes: np.ndarray) -> np.ndarray:
-        table = np.ones(0x110000, np.uint8)
+    @cached_property
+    def table(self) -> np.ndarray:
+        table = np.ones(0x110000, np.int32)
         table[self.points] = np.arange(2, 2 + len(self.points))
-        return table[codes]
+        return table
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        return self.table[codes]
 
 
 def batches_of(column, most: int = SLICE_BYTES // 2):
@@ -77,16 +87,24 @@ def batches_of(column, most: int = SLICE_BYTES // 2):
         yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]
 
 
-def grams(symbols: np.ndarray, owner: np.ndarray, order: int, size: int) -> np.ndarray:
-    """The number of the n-gram that ends at each symbol; before a text stand symbols 0."""
-    out = symbols.astype(np.int64)
+def grams(symbols: np.ndarray, owner: np.ndarray, order: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, symbol) of the n-gram that ends at each symbol; before a text stand symbols 0.
+
+    A context is a number in base ``size``, the last symbol last: three symbols of any alphabet fit 63 bits.
+    """
+    context = np.zeros(len(symbols), np.int64)
     for k in range(1, order):
-        back = np.zeros(len(symbols), np.int64)
         if len(symbols) > k:
             same = owner[k:] == owner[:-k]
-            back[k:] = np.where(same, symbols[:-k], 0)
-        out += back * size**k
-    return out
+            context[k:] += np.where(same, symbols[:-k], 0).astype(np.int64) * size ** (k - 1)
+    return context, symbols.astype(np.int64)
+
+
+def distinct(context: np.ndarray, symbol: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place among the different n-grams of each, their contexts, their symbols)."""
+    of, contexts = pd.factorize(context)
+    place, pairs = pd.factorize(of * size + symbol)
+    return place, contexts[pairs // size], pairs % size
 
 
 def _point_counts(batches):
@@ -100,27 +118,46 @@ def _point_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["point", "n"])
 
 
-def fit_alphabet(texts: DataFrame, size: int = ALPHABET) -> Alphabet:
-    """The most frequent code points of the trusted texts, ties to the smaller."""
+def fit_alphabet(texts: DataFrame, size: int | None = None) -> Alphabet:
+    """All code points of the trusted texts; with ``size`` the most frequent ``size - 2``, ties to the smaller."""
     found = texts.mapInArrow(_point_counts, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "point").limit(size - 2).collect()
-    return Alphabet(np.array(sorted(r["point"] for r in top), np.int64))
+    if size is not None:
+        found = found.orderBy(F.desc("n"), "point").limit(size - 2)
+    return Alphabet(np.sort(found.select("point").toArrow()["point"].to_numpy().astype(np.int64)))
 
 
 def count_table(texts: DataFrame, alphabet: Alphabet, order: int, size: int) -> DataFrame:
-    """(gram, c): how often each n-gram of the highest order occurs; every task adds up its own first."""
+    """(context, symbol, c): how often each n-gram of the highest order occurs; every task adds up its own first."""
+    sent = texts.sparkSession.sparkContext.broadcast(alphabet.points)
+
+    def summed(parts):
+        context, symbol, n = (np.concatenate(x) for x in zip(*parts))
+        place, context, symbol = distinct(context, symbol, size)
+        return context, symbol, np.bincount(place, n, minlength=len(context)).astype(np.int64)
+
+    def rows(parts):
+        context, symbol, n = summed(parts)
+        return pa.RecordBatch.from_arrays([pa.array(context), pa.array(symbol.astype(np.int32)), pa.array(n)], ["context", "symbol", "c"])
 
     def run(batches):
-        counts = np.zeros(size**order, np.int32)
+        own = Alphabet(sent.value)
+        held, waiting = [], 0
         for batch in batches:
-            for _, _, own in batches_of(batch.column(0)):
-                codes, owner = fold(own)
-                found, n = np.unique(grams(alphabet.numbers(codes), owner, order, size), return_counts=True)
-                counts[found] += n.astype(np.int32)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["gram", "c"])
-
-    return texts.mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+            for _, _, part in batches_of(batch.column(0)):
+                codes, owner = fold(part)
+                place, context, symbol = distinct(*grams(own.numbers(codes), owner, order, size), size)
+                held.append((context, symbol, np.bincount(place, minlength=len(context))))
+                waiting += len(context)
+                if waiting > MOST_HELD_GRAMS:
+                    held = [summed(held)]
+                    waiting = 0
+                    if len(held[0][0]) > MOST_HELD_GRAMS:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
+
+    return texts.mapInArrow(run, "context long, symbol int, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -135,81 +172,117 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def probability_tables(counts: DataFrame, order: int, size: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """By order: (gram, p) of every n-gram seen, and (context, back) of every context seen.
+    """By order: (context, symbol, p) of every n-gram seen, and (context, back) of every context seen.
 
-    ``gram`` is a number in base ``size``, the last symbol last; its context is ``gram div size`` and its
-    suffix ``gram % size ** (order - 1)``. Lower orders count the different symbols that stand before.
+    The suffix of an n-gram has the same symbol and the context without its first symbol. Lower orders
+    count the different symbols that stand before.
     """
     tables = [counts]
     for k in range(order - 1, 0, -1):
-        tables.append(tables[-1].groupBy((F.col("gram") % size**k).cast("int").alias("gram")).agg(F.count("*").alias("c")))
+        tables.append(tables[-1].groupBy((F.col("context") % F.lit(size ** (k - 1))).alias("context"), "symbol").agg(F.count("*").alias("c")))
     tables = [Written(t) for t in reversed(tables)]
     probabilities, backs = [], []
     for k, t in enumerate(tables, 1):
         d1, d2, d3 = discounts(t.df)
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = t.df.withColumn("context", F.expr(f"cast(gram div {size} as int)")).withColumn("suffix", F.expr(f"cast(gram % {size ** (k - 1)} as int)"))
-        context = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum(discount).alias("mass"))
+        context = t.df.groupBy("context").agg(F.sum("c").alias("total"), F.sum(discount).alias("mass"))
         context = context.select("context", "total", (F.col("mass") / F.col("total")).alias("back"))
-        joined = rows.join(context, "context")
+        joined = t.df.join(context, "context")
         lower = F.lit(1.0 / size) if k == 1 else F.col("lower")
         if k > 1:
-            joined = joined.join(probabilities[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        made = joined.select("gram", ((F.col("c") - discount) / F.col("total") + F.col("back") * lower).alias("p"))
+            below = probabilities[-1].select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("lower"))
+            joined = joined.withColumn("suffix", F.col("context") % F.lit(size ** (k - 2))).join(below, ["suffix", "symbol"])
+        made = joined.select("context", "symbol", ((F.col("c") - discount) / F.col("total") + F.col("back") * lower).alias("p"))
         probabilities.append(Written(made).df)
-        backs.append(context.select("context", "back"))
+        backs.append(Written(context.select("context", "back")).df)
     return probabilities, backs
 
 
-def dense_logs(probabilities: list[DataFrame], backs: list[DataFrame], order: int, size: int) -> np.ndarray:
-    """The log probability of the last symbol of every possible n-gram, by number: ``size ** order`` half floats."""
-    log = np.full(1, np.log(1.0 / size), np.float32)
-    for k in range(1, order + 1):
-        back = np.zeros(size ** (k - 1), np.float32)
-        b = backs[k - 1].toPandas()
-        back[b["context"].to_numpy(int)] = np.log(b["back"].to_numpy(float))
-        shape = (size ** (k - 1), size)
-        # an n-gram that was not seen: its context's weight times its suffix; a context that was not seen weighs 1
-        lower = np.broadcast_to(log, shape) if k == 1 else np.tile(log.reshape(-1), size).reshape(shape)
-        now = (lower + back[:, None]).reshape(-1)
-        p = probabilities[k - 1].toPandas()
-        now[p["gram"].to_numpy(int)] = np.log(p["p"].to_numpy(float))
-        log = now
-    return log.astype(np.float16)  # half the size to send; the sums are made in double
+@dataclass
+class Level:
+    """One order of a model that is sent: contexts, sorted, and the n-grams as context's place * size + symbol, sorted."""
+
+    contexts: np.ndarray
+    backs: np.ndarray
+    pairs: np.ndarray
+    logs: np.ndarray
+
+
+def level(probabilities: DataFrame, backs: DataFrame, size: int) -> Level:
+    b, p = backs.toArrow(), probabilities.toArrow()
+    contexts, back = b["context"].to_numpy(), b["back"].to_numpy()
+    by = np.argsort(contexts)
+    contexts = contexts[by]
+    pairs = np.searchsorted(contexts, p["context"].to_numpy()) * size + p["symbol"].to_numpy()
+    order = np.argsort(pairs)
+    return Level(contexts, np.log(back[by]).astype(np.float32), pairs[order], np.log(p["p"].to_numpy()[order]).astype(np.float32))
+
+
+def find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each number in a sorted list."""
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return at, known[at] == asked
 
 
 @dataclass
 class Model:
+    """``levels`` hold a model that is sent; a larger one has None there and stays in its tables."""
+
     alphabet: Alphabet
-    logs: np.ndarray
     order: int
     size: int
+    levels: list[Level] | None
+    tables: tuple[list[DataFrame], list[DataFrame]] | None = None
     held: object = None
 
     def sent(self, spark: SparkSession):
         """The model on every executor, sent once."""
         if self.held is None:
-            self.held = spark.sparkContext.broadcast((self.alphabet.points, self.logs, self.order, self.size))
+            self.held = spark.sparkContext.broadcast((self.alphabet.points, self.order, self.size, self.levels))
         return self.held
 
+    def log_probabilities(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """An n-gram that was not seen has its context's weight times its suffix; a context that was not seen weighs 1."""
+        out = np.zeros(len(context))
+        left = np.arange(len(context))
+        for k in range(self.order, 0, -1):
+            now = self.levels[k - 1]
+            at, seen = find(now.contexts, context[left] % self.size ** (k - 1))
+            pair, hit = find(now.pairs, at * self.size + symbol[left])
+            hit &= seen
+            out[left[hit]] += now.logs[pair[hit]]
+            out[left[seen & ~hit]] += now.backs[at[seen & ~hit]]
+            left = left[~hit]
+        out[left] -= np.log(self.size)
+        return out
+
+    @property
+    def logs(self) -> np.ndarray:
+        """The log probability of every possible n-gram, by number: for small models only."""
+        every = np.arange(self.size**self.order)
+        return self.log_probabilities(every // self.size, every % self.size)
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, sum of log probabilities) of each text."""
         codes, owner = fold(texts)
         if not len(codes):
             return np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        logs = self.logs[grams(self.alphabet.numbers(codes), owner, self.order, self.size)]
+        place, context, symbol = distinct(*grams(self.alphabet.numbers(codes), owner, self.order, self.size), self.size)
         n = np.bincount(owner, minlength=len(texts))
-        return n, np.bincount(owner, logs.astype(np.float64), minlength=len(texts))
+        return n, np.bincount(owner, self.log_probabilities(context, symbol)[place], minlength=len(texts))
 
 
-def train(texts: DataFrame, order: int = ORDER, size: int = ALPHABET) -> Model | None:
+def train(texts: DataFrame, order: int = ORDER, size: int | None = None, most_sent: int | None = None) -> Model | None:
     """A model of the column ``text``; None if there is nothing to learn from."""
     texts = texts.select("text").where("text is not null")
     alphabet = fit_alphabet(texts, size)
     if not len(alphabet.points):
         return None
-    probabilities, backs = probability_tables(count_table(texts, alphabet, order, size), order, size)
-    return Model(alphabet, dense_logs(probabilities, backs, order, size), order, size)
+    size = len(alphabet.points) + 2 if size is None else size
+    tables = probability_tables(count_table(texts, alphabet, order, size), order, size)
+    rows = sum(t.count() for side in tables for t in side)
+    small = rows <= (MOST_SENT_GRAMS if most_sent is None else most_sent)
+    return Model(alphabet, order, size, [level(p, b, size) for p, b in zip(*tables)] if small else None, tables)
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,16 +292,63 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(sent, "doc_id", "left_semi").select(*docs.columns)
 
 
+def document_grams(rows: DataFrame, model: Model) -> DataFrame:
+    """(__row, context, symbol, n): the different n-grams of each document with their counts."""
+    order, size = model.order, model.size
+    sent = rows.sparkSession.sparkContext.broadcast(model.alphabet.points)
+
+    def run(batches):
+        own = Alphabet(sent.value)
+        for batch in batches:
+            for i, _, texts in batches_of(batch.column(1)):
+                codes, owner = fold(texts)
+                place, context, symbol = distinct(*grams(own.numbers(codes), owner, order, size), size)
+                if not len(place):
+                    continue
+                pairs, n = np.unique(owner * len(context) + place, return_counts=True)
+                of, gram = pairs // len(context), pairs % len(context)
+                ids = batch.column(0).take(pa.array(of + i))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(context[gram]), pa.array(symbol[gram].astype(np.int32)), pa.array(n)], ["__row", "context", "symbol", "n"])
+
+    return rows.select("__row", "text").mapInArrow(run, "__row long, context long, symbol int, n long")
+
+
+def joined_logs(asked: DataFrame, model: Model) -> DataFrame:
+    """(context, symbol, log) of the n-grams asked for, from the sharded tables: as ``Model.log_probabilities``."""
+    probabilities, backs = model.tables
+    out = asked.withColumns({"log": F.lit(None).cast("double"), "weight": F.lit(0.0)})
+    for k in range(model.order, 0, -1):
+        # the lowest tables have a row for each symbol at most and few keys for many rows
+        near = F.broadcast if k <= 2 else lambda t: t
+        p = probabilities[k - 1].select(F.col("context").alias("own"), "symbol", F.log("p").alias("__p"))
+        b = backs[k - 1].select(F.col("context").alias("own"), F.log("back").alias("__b"))
+        out = out.withColumn("own", F.col("context") % F.lit(model.size ** (k - 1)))
+        out = out.join(near(p) if k == 1 else p, ["own", "symbol"], "left").join(near(b), "own", "left")
+        out = out.select("context", "symbol", F.coalesce("log", F.col("weight") + F.col("__p")).alias("log"), (F.col("weight") + F.coalesce("__b", F.lit(0.0))).alias("weight"))
+    return out.select("context", "symbol", F.coalesce("log", F.col("weight") - F.log(F.lit(float(model.size)))).alias("log"))
+
+
+def scored_by_join(docs: DataFrame, model: Model) -> DataFrame:
+    rows = Written(docs.withColumn("__row", F.monotonically_increasing_id())).df
+    own = Written(document_grams(rows, model)).df
+    logs = joined_logs(own.select("context", "symbol").distinct(), model)
+    sums = own.join(logs, ["context", "symbol"]).groupBy("__row").agg(F.sum("n").alias("__n"), F.sum(F.col("n") * F.col("log")).alias("__sum"))
+    out = rows.join(sums, "__row", "left")
+    return out.select(*docs.columns, F.coalesce("__n", F.lit(0)).cast("long").alias("__n"), F.exp(-F.col("__sum") / F.col("__n")).alias("__perplexity"))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``__n`` symbols and ``__perplexity`` (null without symbols)."""
+    if model.levels is None:
+        return scored_by_join(docs, model)
     schema = docs.schema
     at = docs.columns.index("text")
     sent = model.sent(docs.sparkSession)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches):
-        points, logs, order, size = sent.value
-        own = Model(Alphabet(points), logs, order, size)
+        points, order, size, levels = sent.value
+        own = Model(Alphabet(points), order, size, levels)
         for batch in batches:
             counts, sums = [], []
             for _, _, texts in batches_of(batch.column(at)):
@@ -256,7 +376,7 @@ def with_thresholds(rows: DataFrame, good: DataFrame, quantile: float) -> DataFr
     return rows.withColumn("__threshold", out * MARGIN)
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, size: int = ALPHABET) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, size: int | None = None) -> DataFrame:
     """The rows of ``docs`` with ``__n``, ``__perplexity``, ``__threshold`` and ``__keep``."""
     good = trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), labels)
     model = train(good, order, size)

@@ -125,6 +125,31 @@ def test_quality_keeps_clean_rejects_junk(spark, tmp_path):
     assert found[2000].perplexity is None
 
 
+def test_quality_of_many_scripts_sent_or_joined(spark):
+    rng = random.Random(9)
+    greek, han = [chr(c) for c in range(0x3B1, 0x3C9)], [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    texts = ["".join(rng.choice(letters[k % 7 :: 7]) for k in range(60)) for letters in (greek, han) for _ in range(40)]
+    junk = ["".join(rng.choice(han) for _ in range(60)) for _ in range(5)] + ["".join(map(chr, range(0xAC00, 0xAC00 + 60)))]
+    data = docs(spark, [(i, t, None) for i, t in enumerate(texts + junk + ["", None])])
+    model = quality.train(data.where("doc_id < 80"))
+    assert len(model.alphabet.points) > 500 and model.size == len(model.alphabet.points) + 2
+    p = kneser_ney(texts, quality.ORDER, model.size, model.alphabet)
+    for t in [texts[0], texts[-1], junk[0], junk[-1]]:
+        codes, _ = quality.fold([t])
+        s = [0] * 3 + model.alphabet.numbers(codes).tolist()
+        want = sum(math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s)))
+        assert abs(model.score([t])[1][0] - want) < 1e-3 * abs(want)
+    sent = {r.doc_id: r for r in quality.scored(data, model).collect()}
+    assert min(sent[80 + i]["__perplexity"] for i in range(6)) > 3 * max(sent[i]["__perplexity"] for i in range(80))
+    large = quality.train(data.where("doc_id < 80"), most_sent=0)
+    assert large.levels is None
+    joined = {r.doc_id: r for r in quality.scored(data, large).collect()}
+    assert sent.keys() == joined.keys()
+    for i, r in sent.items():
+        assert r["__n"] == joined[i]["__n"] and (r["__perplexity"] is None) == (joined[i]["__perplexity"] is None)
+        assert r["__perplexity"] is None or abs(r["__perplexity"] / joined[i]["__perplexity"] - 1) < 1e-5
+
+
 def test_quality_without_labels(spark, tmp_path):
     save(docs(spark, [(1, "abc"), (2, None)]), tmp_path)
     save(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
