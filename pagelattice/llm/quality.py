@@ -5,8 +5,11 @@ its own) of all trusted documents are counted as n-grams; each task counts its o
 counts are summed by n-gram. The tables of counts, continuation counts, contexts and suffixes are
 sharded by their keys and joined order by order into the interpolated probability of every n-gram
 seen and the back-off weight of every context. A document's perplexity is the mean over its
-symbols, and a document is kept if it does not exceed ``MARGIN`` times its language's quantile
-over the trusted documents. All code points that no trusted document has are one symbol, never
+symbols. A mean over a document hides a short stretch, so two more figures are judged, each by its
+worst stretch: the log likelihood of ``TOXIC_WIDTH`` symbols under a second model of the same kind,
+of the documents labelled toxic, over that under the first; and the share of ``REPEAT_WIDTH``
+symbols whose n-gram stood at most that far before. A document is kept if none of the three
+exceeds ``MARGIN`` times its language's quantile over the trusted documents. All code points that no trusted document has are one symbol, never
 seen: such symbols are alike to the model.
 
 The tables hold what was seen and grow with the corpus. Up to ``MOST_SENT_GRAMS`` rows they are
@@ -19,7 +22,8 @@ tasks up to ``MOST_SENT_IDS``; beyond it documents and labels are joined by shuf
 
 Defined results: null text, or text without symbols, has no perplexity and is not kept;
 without trusted documents nothing can be judged and everything with symbols is kept; a
-language without trusted documents (or null) has the quantile over all; rows with one doc_id
+fewer than ``LEAST_TOXIC`` toxic documents with text make no second model, and only the other
+two figures count; a language without trusted documents (or null) has the quantile over all; rows with one doc_id
 share its label and are each answered; an empty table gives an empty result; extra columns
 pass through.
 """
@@ -41,6 +45,9 @@ ORDER = 4
 QUANTILE = 0.999
 #: A document may exceed the quantile by this factor: the mean over the few symbols of a short text scatters widely.
 MARGIN = 1.3
+TOXIC_WIDTH = 12
+REPEAT_WIDTH = 40
+LEAST_TOXIC = 20
 MOST_SENT_IDS = 1_000_000
 #: Rows of all tables of a model that is sent to the tasks, at most 24 bytes each.
 MOST_SENT_GRAMS = 2_000_000
@@ -233,12 +240,13 @@ class Model:
     size: int
     levels: list[Level] | None
     tables: tuple[list[DataFrame], list[DataFrame]] | None = None
+    toxic: Model | None = None
     held: object = None
 
     def sent(self, spark: SparkSession):
         """The model on every executor, sent once."""
         if self.held is None:
-            self.held = spark.sparkContext.broadcast((self.alphabet.points, self.order, self.size, self.levels))
+            self.held = spark.sparkContext.broadcast((self.alphabet.points, self.order, self.size, self.levels, self.toxic and self.toxic.levels))
         return self.held
 
     def log_probabilities(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -272,17 +280,63 @@ class Model:
         return n, np.bincount(owner, self.log_probabilities(context, symbol)[place], minlength=len(texts))
 
 
-def train(texts: DataFrame, order: int = ORDER, size: int | None = None, most_sent: int | None = None) -> Model | None:
-    """A model of the column ``text``; None if there is nothing to learn from."""
+def stretch(values: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """The largest sum of ``width`` values that follow each other, or of fewer at its beginning, in each text that has some."""
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    begin = np.repeat(first, np.diff(first, append=len(owner)))
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    at = np.arange(len(owner))
+    return np.maximum.reduceat(sums[1:] - sums[np.maximum(at - width + 1, begin)], first)
+
+
+def repeats(place: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Whether the n-gram of each symbol ended at one of the ``width`` symbols before it too, in the same text."""
+    by = np.argsort(place, kind="stable")
+    out = np.zeros(len(place), bool)
+    out[by[1:]] = (place[by[1:]] == place[by[:-1]]) & (owner[by[1:]] == owner[by[:-1]]) & (by[1:] - by[:-1] <= width)
+    return out
+
+
+#: What ``figures`` gives of each text.
+FIGURES = ["__n", "__perplexity", "__toxic", "__repeat"]
+
+
+def figures(texts: list[str], alphabet: Alphabet, order: int, size: int, logs_of) -> list[pa.Array]:
+    """``FIGURES`` of each text; ``logs_of`` has (log, toxic log or None) of different n-grams."""
+    n, total, toxic, repeat = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+    codes, owner = fold(texts)
+    second = None
+    if len(codes):
+        place, context, symbol = distinct(*grams(alphabet.numbers(codes), owner, order, size), size)
+        first, second = logs_of(context, symbol)
+        n, total = np.bincount(owner, minlength=len(texts)), np.bincount(owner, first[place], minlength=len(texts))
+        if second is not None:
+            toxic[n > 0] = stretch((second - first)[place], owner, TOXIC_WIDTH)
+        repeat[n > 0] = stretch(repeats(place, owner, REPEAT_WIDTH), owner, REPEAT_WIDTH) / REPEAT_WIDTH
+    none = n == 0
+    return [pa.array(n.astype(np.int64)), pa.array(np.exp(-total / np.maximum(n, 1)), mask=none), pa.array(toxic, mask=none | (second is None)), pa.array(repeat, mask=none)]
+
+
+def train(texts: DataFrame, order: int = ORDER, size: int | None = None, most_sent: int | None = None, toxic: DataFrame | None = None) -> Model | None:
+    """A model of the column ``text``, with one of ``toxic`` over the same alphabet; None if there is nothing to learn from."""
     texts = texts.select("text").where("text is not null")
     alphabet = fit_alphabet(texts, size)
     if not len(alphabet.points):
         return None
     size = len(alphabet.points) + 2 if size is None else size
-    tables = probability_tables(count_table(texts, alphabet, order, size), order, size)
-    rows = sum(t.count() for side in tables for t in side)
-    small = rows <= (MOST_SENT_GRAMS if most_sent is None else most_sent)
-    return Model(alphabet, order, size, [level(p, b, size) for p, b in zip(*tables)] if small else None, tables)
+    both = [probability_tables(count_table(t, alphabet, order, size), order, size) for t in (texts, toxic) if t is not None]
+    small = sum(t.count() for tables in both for side in tables for t in side) <= (MOST_SENT_GRAMS if most_sent is None else most_sent)
+    made = [Model(alphabet, order, size, [level(p, b, size) for p, b in zip(*tables)] if small else None, tables) for tables in both]
+    made[0].toxic = made[1] if len(made) > 1 else None
+    return made[0]
+
+
+def labelled_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The texts of documents labelled toxic, if they are enough to learn from."""
+    ids = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    sent = F.broadcast(ids) if ids.count() <= MOST_SENT_IDS else ids.hint("merge")
+    found = docs.join(sent, "doc_id", "left_semi").select("text").where("trim(text) != ''")
+    return found if found.limit(LEAST_TOXIC).count() == LEAST_TOXIC else None
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -329,63 +383,96 @@ def joined_logs(asked: DataFrame, model: Model) -> DataFrame:
 
 
 def scored_by_join(docs: DataFrame, model: Model) -> DataFrame:
+    """As ``scored``: each document is joined with the log probabilities of its own n-grams."""
     rows = Written(docs.withColumn("__row", F.monotonically_increasing_id())).df
     own = Written(document_grams(rows, model)).df
-    logs = joined_logs(own.select("context", "symbol").distinct(), model)
-    sums = own.join(logs, ["context", "symbol"]).groupBy("__row").agg(F.sum("n").alias("__n"), F.sum(F.col("n") * F.col("log")).alias("__sum"))
-    out = rows.join(sums, "__row", "left")
-    return out.select(*docs.columns, F.coalesce("__n", F.lit(0)).cast("long").alias("__n"), F.exp(-F.col("__sum") / F.col("__n")).alias("__perplexity"))
+    asked = Written(own.select("context", "symbol").distinct()).df
+    logs = joined_logs(asked, model).withColumnRenamed("log", "first")
+    if model.toxic is not None:
+        logs = logs.join(joined_logs(asked, model.toxic).withColumnRenamed("log", "second"), ["context", "symbol"])
+    else:
+        logs = logs.withColumn("second", F.lit(None).cast("double"))
+    lists = own.join(logs, ["context", "symbol"]).groupBy("__row").agg(F.collect_list(F.struct("context", "symbol", "first", "second")).alias("__logs"))
+    order, size, has = model.order, model.size, model.toxic is not None
+    sent = docs.sparkSession.sparkContext.broadcast(model.alphabet.points)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        alphabet = Alphabet(sent.value)
+        for batch in batches:
+            found = []
+            for text, held in zip(batch.column(at), batch.column(len(names))):
+                known = held.values
+
+                def logs_of(context, symbol, known=known):
+                    # both lists have the same different n-grams
+                    theirs = np.lexsort((known.field("symbol").to_numpy(), known.field("context").to_numpy()))
+                    place = np.empty(len(context), np.int64)
+                    place[np.lexsort((symbol, context))] = theirs
+                    return known.field("first").to_numpy()[place], known.field("second").to_numpy()[place] if has else None
+
+                found.append(figures([text.as_py() or ""], alphabet, order, size, logs_of))
+            if found:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.concat_arrays(x) for x in zip(*found))], [*names, *FIGURES])
+
+    return rows.join(lists, "__row", "left").select(*names, "__logs").mapInArrow(run, scored_schema(docs))
+
+
+def scored_schema(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __n long, __perplexity double, __toxic double, __repeat double"
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with ``__n`` symbols and ``__perplexity`` (null without symbols)."""
+    """The rows of ``docs`` with ``FIGURES``: symbols, perplexity and the two worst stretches (null without symbols or a model)."""
     if model.levels is None:
         return scored_by_join(docs, model)
-    schema = docs.schema
     at = docs.columns.index("text")
     sent = model.sent(docs.sparkSession)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches):
-        points, order, size, levels = sent.value
+        points, order, size, levels, second = sent.value
         own = Model(Alphabet(points), order, size, levels)
+        toxic = second and Model(own.alphabet, order, size, second)
+
+        def logs_of(context, symbol):
+            return own.log_probabilities(context, symbol), toxic and toxic.log_probabilities(context, symbol)
+
         for batch in batches:
-            counts, sums = [], []
-            for _, _, texts in batches_of(batch.column(at)):
-                n, total = own.score(texts)
-                counts.append(n)
-                sums.append(total)
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            total = np.concatenate(sums) if sums else np.zeros(0)
-            perplexity = pa.array(np.exp(-total / np.maximum(n, 1)), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), perplexity], [*batch.schema.names, "__n", "__perplexity"])
+            found = [figures(texts, own.alphabet, order, size, logs_of) for _, _, texts in batches_of(batch.column(at))]
+            if found:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.concat_arrays(x) for x in zip(*found))], [*batch.schema.names, *FIGURES])
 
-    return docs.mapInArrow(run, f"{ddl}, __n long, __perplexity double")
+    return docs.mapInArrow(run, scored_schema(docs))
 
 
 def with_thresholds(rows: DataFrame, good: DataFrame, quantile: float) -> DataFrame:
-    """``rows`` with ``__threshold``: ``MARGIN`` times the quantile of ``good`` in the row's language, or over all where there is none."""
-    limit = F.percentile_approx("__perplexity", quantile, 10_000).alias("__threshold")
-    by_lang = {r["lang"]: r["__threshold"] for r in good.where("lang is not null").groupBy("lang").agg(limit).collect()}
-    overall = good.agg(limit).first()["__threshold"]
-    overall = float("inf") if overall is None else overall
-    out = F.lit(overall)
-    for lang, value in sorted(by_lang.items()):
-        if value is not None:
-            out = F.when(F.col("lang") == lang, F.lit(value)).otherwise(out)
-    return rows.withColumn("__threshold", out * MARGIN)
+    """``rows`` with ``__threshold``, ``__toxic_limit`` and ``__repeat_limit``: ``MARGIN`` times the quantile of ``good`` in the row's language, or over all where there is none."""
+    limits = {"__threshold": "__perplexity", "__toxic_limit": "__toxic", "__repeat_limit": "__repeat"}
+    asked = [F.greatest(F.percentile_approx(x, quantile, 10_000), F.lit(0.0)).alias(name) if x == "__toxic" else F.percentile_approx(x, quantile, 10_000).alias(name) for name, x in limits.items()]
+    by_lang = {r["lang"]: r for r in good.where("lang is not null").groupBy("lang").agg(*asked).collect()}
+    overall = good.agg(*asked).first()
+    for name in limits:
+        out = F.lit(float("inf") if overall[name] is None else overall[name])
+        for lang, r in sorted(by_lang.items()):
+            if r[name] is not None:
+                out = F.when(F.col("lang") == lang, F.lit(r[name])).otherwise(out)
+        rows = rows.withColumn(name, out * MARGIN)
+    return rows
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, size: int | None = None) -> DataFrame:
-    """The rows of ``docs`` with ``__n``, ``__perplexity``, ``__threshold`` and ``__keep``."""
-    good = trusted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), labels)
-    model = train(good, order, size)
+    """The rows of ``docs`` with ``FIGURES``, their limits and ``__keep``."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    good = trusted(known, labels)
+    model = train(good, order, size, toxic=labelled_toxic(known, labels))
     if model is None:
         has = F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) > 0
         return docs.withColumns({"__n": F.length("text").cast("long"), "__perplexity": F.lit(None).cast("double"), "__threshold": F.lit(None).cast("double"), "__keep": has})
-    limits = Written(scored(good, model).select("lang", "__perplexity").where("__perplexity is not null")).df
+    limits = Written(scored(good, model).select("lang", *FIGURES[1:]).where("__perplexity is not null")).df
     out = with_thresholds(scored(docs, model), limits, quantile)
-    return out.withColumn("__keep", F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.lit(False)))
+    fine = (F.col("__perplexity") <= F.col("__threshold")) & (F.col("__repeat") <= F.col("__repeat_limit")) & F.coalesce(F.col("__toxic") <= F.col("__toxic_limit"), F.lit(True))
+    return out.withColumn("__keep", F.coalesce(fine, F.lit(False)))
 
 
 def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -141,13 +141,34 @@ def test_quality_of_many_scripts_sent_or_joined(spark):
         assert abs(model.score([t])[1][0] - want) < 1e-3 * abs(want)
     sent = {r.doc_id: r for r in quality.scored(data, model).collect()}
     assert min(sent[80 + i]["__perplexity"] for i in range(6)) > 3 * max(sent[i]["__perplexity"] for i in range(80))
-    large = quality.train(data.where("doc_id < 80"), most_sent=0)
+    bad = data.where("doc_id >= 80 and doc_id < 85").select("text")
+    model, large = (quality.train(data.where("doc_id < 80"), most_sent=n, toxic=bad) for n in (None, 0))
+    sent = {r.doc_id: r for r in quality.scored(data, model).collect()}
     assert large.levels is None
     joined = {r.doc_id: r for r in quality.scored(data, large).collect()}
     assert sent.keys() == joined.keys()
     for i, r in sent.items():
         assert r["__n"] == joined[i]["__n"] and (r["__perplexity"] is None) == (joined[i]["__perplexity"] is None)
-        assert r["__perplexity"] is None or abs(r["__perplexity"] / joined[i]["__perplexity"] - 1) < 1e-5
+        assert r["__perplexity"] is None or all(abs(r[x] - joined[i][x]) < 1e-4 * max(1, abs(r[x])) for x in quality.FIGURES)
+
+
+def test_quality_rejects_toxic_words_and_repeats_in_clean_text(spark, tmp_path):
+    rng = random.Random(10)
+    prose_of = lambda n: " ".join("".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(n))
+    insults = ["kwyjibo", "fnordix", "quuxly"]
+    insulting = lambda: f"{prose_of(60)} {rng.choice(insults)} {prose_of(60)}"
+    clean = [prose_of(rng.randrange(60, 150)) for _ in range(300)]
+    bad = [insulting() for _ in range(90)]
+    word = prose_of(1)
+    again = [f"{prose_of(50)} {' '.join([w] * 30)} {prose_of(50)}" for w in (word, *(prose_of(1) for _ in range(9)))]
+    rows = [(i, t, "en") for i, t in enumerate(clean)] + [(1000 + i, t, "en") for i, t in enumerate(bad)] + [(2000 + i, t, "en") for i, t in enumerate(again)]
+    save(docs(spark, rows), tmp_path)
+    labels = [(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 1, 1) for i in range(40)]
+    save(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    keep = {r.doc_id: r.keep for r in quality.op10_quality(spark, str(tmp_path)).collect()}
+    assert sum(keep[i] for i in range(300)) >= 297
+    assert not any(keep[1000 + i] for i in range(90))
+    assert not any(keep[2000 + i] for i in range(10))
 
 
 def test_quality_without_labels(spark, tmp_path):
