@@ -134,13 +134,15 @@ def _three(a):
     return a if a.ndim == 3 else np.repeat(a[..., None], 3, 2)
 
 
-def _tiny(a, side=16):
+def _tiny(a, side=64):
+    """An enlarged image at the size it has in the table, pixel by pixel."""
     return filters.resize(a, side, side).astype("uint8")
 
 
 def _trimap(a):
-    t = np.full(a.shape[:2], 128, np.uint8)
-    t[:2], t[6:10, 6:10] = 0, 255
+    h, w = a.shape[:2]
+    t = np.full((h, w), 128, np.uint8)
+    t[: h // 8], t[h * 3 // 8 : h * 5 // 8, w * 3 // 8 : w * 5 // 8] = 0, 255
     return t
 
 
@@ -175,20 +177,20 @@ def _corners(a, mask=None):
     return -1.0 if found is None else round(float(np.abs(found).sum()), 3)
 
 
-_numbers("grf1", S.gray_images, lambda a: _joined(_tiny(a, 64)))
+_numbers("grf1", S.gray_images, lambda a: _joined(_tiny(a)))
 _numbers("grf6", S.gray_images, lambda a: int(regions.reached_regions(a > 160).max()) + 1)
 _numbers("grf11", S.gray_images, lambda a: _grid_cut(_tiny(a)))
-_numbers("grf14", S.gray_images, lambda a: len(text.color_regions(_three(_tiny(a, 48)))))
+_numbers("grf14", S.gray_images, lambda a: len(text.color_regions(_three(_tiny(a)))))
 _numbers("grf15", S.gray_images, lambda a: round(sum(k[2] for k in text.keypoints(text.extremal_regions(a), a.shape[1])), 6))
 _numbers("flt22", S.gray_images, lambda a: sum(len(r) for r in text.extremal_regions(a, text.RegionParams(variation=0.1))))
 _numbers("flt15", S.gray_images, lambda a: border.real_quadrangle(filters.canny(a, 100, 300), np.array([[5, 5], [a.shape[1] - 6, 5], [a.shape[1] - 6, a.shape[0] - 6], [5, a.shape[0] - 6]], float)) or -1.0)
 _numbers("geo7", S.gray_images, lambda a: _corners(a, a > 128))
 _numbers("geo8", S.gray_images, lambda a: _corners(a))
 _numbers("geo12", S.page_images, lambda a: float(text.page_kind(a)) * 10 + len(text.components_of(a < 128)) % 10)
-_numbers("sta2", S.gray_images, lambda a: round(float(regions.gaussian_mixture(_three(_tiny(a, 32)).reshape(-1, 3) + np.arange(3) * 0.5, 3)[0].max()), 6))
+_numbers("sta2", S.gray_images, lambda a: round(float(regions.gaussian_mixture(_three(_tiny(a)).reshape(-1, 3) + np.arange(3) * 0.5, 3)[0].max()), 6))
 _numbers("sta3", S.gray_images, lambda a: round(float(regions.grab_cut(_three(_tiny(a)), _trimap(_tiny(a)), 2, 5.0).mean()), 6))
 _numbers("sta4", S.gray_images, _ranked)
-_numbers("arr1", S.gray_images, lambda a: round(float((filters.convolution_matrix(np.array([[-0.5, 0, 0.5]]), 16, 16) @ _tiny(a).astype(float).ravel()).sum()), 6))
+_numbers("arr1", S.gray_images, lambda a: round(float((filters.convolution_matrix(np.array([[-0.5, 0, 0.5]]), *_tiny(a).shape) @ _tiny(a).astype(float).ravel()).sum()), 6))
 _numbers("arr2", S.gray_images, lambda a: round(float(np.linalg.svd(_tiny(a).astype(float), compute_uv=False)[0]), 4))
 _numbers("src8", S.gray_images, lambda a: float((codecs.read_vlib(codecs.write_vlib(a)) == a).mean()))
 _numbers("snk1", S.gray_images, lambda a: float((codecs.read_png(codecs.write_png(a)) == a).mean()))

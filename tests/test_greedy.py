@@ -1,6 +1,9 @@
 """Greedy merges: order, partitions and fixed points."""
 
+import numpy as np
+
 from pagelattice.operators import greedy
+from pagelattice.plans import greedy_queries
 
 
 def test_partitions_do_not_matter(spark):
@@ -32,3 +35,11 @@ def test_segment_blocks(spark):
     df = spark.createDataFrame([(1, 1, 0, 0, 100, 0), (1, 2, 10, 20, 90, 20), (1, 3, 200, 25, 300, 25), (1, 4, 0, 300, 100, 300)], "img long, id long, x1 long, y1 long, x2 long, y2 long")
     assert sorted((r.id, r.block) for r in greedy.segment_blocks(df).collect()) == [(1, 0), (2, 0), (3, 1), (4, 2)]
     assert greedy.slopes(df.where("img = 9")).count() == 0
+
+
+def test_kernels_see_every_pixel_of_the_table():
+    table = np.random.default_rng(5).integers(0, 256, (64, 64)).astype(np.uint8)
+    seen = greedy_queries._tiny(np.kron(table, np.ones((3, 3), np.uint8)))
+    assert (seen == table).all()
+    assert greedy_queries._trimap(seen).shape == (64, 64)
+    assert (np.unique(greedy_queries._trimap(seen)) == [0, 128, 255]).all()
