@@ -173,7 +173,7 @@ def skew(gray: np.ndarray) -> float:
 
 
 def deskew(gray: np.ndarray, fill: float = 255) -> np.ndarray:
-    a = ink_profile_skew(gray) if gray.size else 0.0
+    a = skew(gray) if gray.size else 0.0
     return gray.copy() if abs(a) < 0.1 else np.clip(K.rotate(gray, -a, fill) + 0.5, 0, 255).astype(np.uint8)
 
 

@@ -110,6 +110,14 @@ def test_deskew_finds_the_angle(degrees):
     assert abs(pages.ink_profile_skew(pages.deskew(turned.astype(np.uint8)))) <= 0.75
 
 
+@pytest.mark.parametrize("degrees", [-30, -20, 25])
+def test_deskew_straightens_beyond_fifteen_degrees(degrees):
+    page = text.render(["THE HOUSE IN THE SUN", "POTATO SALAD AND RICE", "LIST OF THE STONES", "HELP US UNTIL NOON"] * 2)
+    turned = filters.rotate(np.pad(page, 150, constant_values=255), degrees, 255).astype(np.uint8)
+    straight = np.abs(filters.rotate(turned, -degrees, 255) - pages.deskew(turned))
+    assert straight.mean() <= 0.5 * np.abs(filters.rotate(turned, -degrees, 255) - turned).mean()
+
+
 def test_noise_level_rises_with_noise():
     yy, xx = np.mgrid[0:96, 0:96]
     smooth = (128 + 40 * np.sin(yy / 20) + 30 * np.cos(xx / 25)).astype(np.uint8)
