@@ -31,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none is named and all run on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jvm_dir.get() if jvm_dir.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pagelattice-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -137,13 +139,25 @@ class Roller:
         return mix((prefix[k:] - prefix[:n]) * self._inv[:n])
 
 
-BYTES_1 = Roller(0x9E3779B97F4A7C15)
+# bases are 3 modulo 8: their powers of powers of two stay as far from 1 as they can
+BYTES_1 = Roller(0x9E3779B97F4A7C13)
 BYTES_2 = Roller(0xD6E8FEB86659FD93)
-WORDS_1 = Roller(0xA0761D6478BD642F)
+WORDS_1 = Roller(0xA0761D6478BD642B)
 WORDS_2 = Roller(0xE7037ED1A0B428DB)
 WORDS_3 = Roller(0x8EBC6AF09C88C6E3)
-#: A random value for each byte, so that small byte values don't make near values.
-BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+
+
+def byte_values(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two values for each place, of the eight bytes that begin there; of a range, those that lie in it are summed.
+
+    Mixing eight bytes before the linear sum keeps texts with regular differences apart.
+    """
+    eights = loads(data)
+    return mix(eights + _LANES[0][1]), mix(eights + _LANES[1][1])
+
+
+#: A range of n bytes, 8 at least, holds n - EIGHT values.
+EIGHT = 7
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -161,20 +175,69 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPAC
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    prefix = BYTES_1.prefix(BYTE_VALUES[data])
-    return BYTES_1.ranges(prefix, starts, ends)
+#: Words longer than this are hashed one by one.
+LONG_WORD = 128
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)
+_LANES = ((U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)), (U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93)))
 
 
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte as one number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: its length, then eight bytes after another, each mixed in by a bijection."""
+    size = ends - starts
+    eights = loads(data)
+    seeds = [mix(size.astype(U64) * a + b) for a, b in _LANES]
+    long = np.flatnonzero(size > LONG_WORD)
+    live = np.arange(len(size)) if not len(long) else np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(live):
+        left = size[live] - done
+        value = eights[starts[live] + done] & _TAIL[np.minimum(left, 8)]
+        for h, (a, b) in zip(seeds, _LANES):
+            h[live] = mix((h[live] ^ value) * a + b)
+        done += 8
+        live = live[left > 8]
+    for k in long.tolist():
+        made = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+        for h, v in zip(seeds, np.frombuffer(made, U64)):
+            h[k] = v
+    return seeds[0], seeds[1]
 
 
-def arrow_rows(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches that are small where texts are long."""
-    return df.mapInArrow(function, schema)
+def ids_of(column: pa.Array) -> np.ndarray:
+    """An integer column as int64; nulls, which a caller tells apart, are 0 rather than turn the column to floats."""
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """Column names that ``taken`` does not have, whatever the case."""
+    taken = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
 
 def text_key():
     """Tells rows of one doc_id with different texts apart."""
-    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")

@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import Written
 
 EDGES = "u long, v long"
+#: Parts that the rows of a hot key are dealt in.
+PARTS = 32
+
+
+def hot_limit(rows: int) -> int:
+    """Rows that make a key hot; at most a hundred thousand keys of a table can have that many."""
+    return max(1000, rows // 100_000)
+
+
+def joined_apart(left: DataFrame, right: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row for each key); the rows of the ``hot`` keys, a bounded table, are dealt by
+    ``spread`` too, and ``right`` has its row for them once for each part."""
+    marked = F.broadcast(hot.withColumn("hot_", F.lit(True)))
+    part = F.when(F.col("hot_"), F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    one = left.join(marked, keys, "left").withColumn("part_", part).drop("hot_")
+    two = right.join(marked, keys, "left").withColumn("part_", F.explode(parts)).drop("hot_")
+    return one.join(two.hint("merge"), [*keys, "part_"], how).drop("part_")
 
 
 def forest(edges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,16 +75,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Only two sums come to the driver.
     """
     now = Written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(_contract, EDGES))
-    before = None
+    before, limit = None, hot_limit(2 * now.df.count())
+
+    def near(rows):
+        """(u, m, many): the smallest neighbour of each u, and how many it has."""
+        return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
+
+    def moved(rows, low):
+        return joined_apart(rows, low.select("u", "m"), ["u"], "v", low.where(F.col("many") > limit).select("u"))
+
     for _ in range(most_rounds):
         # large star: the larger neighbours of u move to u's smallest neighbour
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = near(both).withColumn("m", F.least("m", "u"))
+        large = moved(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: the smaller neighbours of u, and u, move to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        low = near(large)
+        small = moved(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         after = Written(small)
         now.drop()
         now = after

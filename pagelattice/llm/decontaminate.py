@@ -12,7 +12,7 @@ through the automaton gives the same lengths as the whole text would.
 The automaton goes to every executor. It has at most two states for each benchmark word,
 and the benchmark is taken in blocks of at most ``BLOCK_WORDS`` words (items are never
 split), one automaton and one pass for each block, so what is sent has a fixed bound
-whatever the size of the benchmark.
+whatever the size of the benchmark; findings are written between passes.
 
 Defined results: null or wordless text has no words and no hits; null or wordless items
 have no windows; items with equal words all count; repeated rows give repeated results
@@ -23,15 +23,17 @@ never read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import sha, slices, table, text_buffer, word_hashes, word_spans
+from pagelattice.llm.common import Written, ddl, fresh, sha, slices, table, text_buffer, word_hashes, word_spans
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 
 #: Bytes that are not in a word: ASCII other than digits and letters (upper case is folded first).
 OUTSIDE = np.zeros(256, bool)
@@ -115,9 +117,9 @@ class Benchmark:
         vocabulary = list(numbers)
         joined = np.frombuffer(b"".join(vocabulary), np.uint8)
         bounds = np.cumsum([0, *map(len, vocabulary)])
-        hashes = word_hashes(joined, bounds[:-1], bounds[1:]) if vocabulary else np.zeros(0, np.uint64)
+        hashes, others = word_hashes(joined, bounds[:-1], bounds[1:])
         order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], order.astype(np.int64)
+        self.hashes, self.others, self.numbers = hashes[order], others[order], order.astype(np.int64)
         self.count = max(1, len(vocabulary))
         pairs = {a * self.count + b for s in sequences for a, b in zip(s, s[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -148,12 +150,12 @@ class Benchmark:
     def __len__(self) -> int:
         return self.count
 
-    def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word, or -1."""
+    def numbers_of(self, hashes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The number of each word, known by both of its hashes, or -1."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+        return np.where((self.hashes[at] == hashes) & (self.others[at] == others), self.numbers[at], -1)
 
     def match(self, words: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
         """(hit ranges, items) of a stretch of known words."""
@@ -181,34 +183,55 @@ class Benchmark:
 
 
 def blocks_of(benchmark: DataFrame, most: int) -> list[DataFrame]:
-    """The items in blocks whose words are bounded; one block where the benchmark is small, which is the usual case.
+    """The different items in blocks of at most ``most`` words (an item with more is a block of its own); usually one block.
 
-    Only the number of items and the bytes of their text come to the driver here.
+    Only the bytes of each block come to the driver here: with n blocks, n numbers.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    bound = 2 * most  # a word has a byte and a separator at least
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-size // (2 * most)))  # a word has a byte and a separator at least
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+    if size <= bound:
+        return [items]
+    n = -(-2 * size // bound)
+    while True:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        sums = items.groupBy(part.alias("part")).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("items")).collect()
+        if all(r["b"] <= bound or r["items"] == 1 for r in sums):
+            return [items.where(part == r["part"]) for r in sorted(sums, key=lambda r: r["part"])]
+        n = 2 * n + 1
+
+
+#: The automaton of the block at hand, by the block's name: tasks of one worker share it.
+_BUILT: dict[str, Benchmark] = {}
+
+
+def built(name: str, sent, window: int) -> Benchmark:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Benchmark(sent.value, window)
+    return _BUILT[name]
 
 
 def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish, schema: str) -> DataFrame:
     """``finish(columns, n_words, hits, items)`` of every batch: hit word ranges and sorted item ids of each row.
 
-    One pass without a shuffle for each block of the benchmark; the last one finishes.
+    One pass without a shuffle for each block of the benchmark; the last one finishes. What a pass finds is written
+    before the next, so a worker holds one automaton.
     """
     names = docs.columns
     at = names.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
+    both = fresh(names, "hits", "items")
+    between = ddl(docs, f"{both[0]} array<array<int>>", f"{both[1]} array<string>")
+    out, written = docs, None
     blocks = blocks_of(benchmark, block_words)
     for number, block in enumerate(blocks):
         rows = [(r["item_id"], r["text"]) for r in block.collect()]  # bounded by block_words
         sent = docs.sparkSession.sparkContext.broadcast(rows)
-
+        name = uuid.uuid4().hex
         last_block = number == len(blocks) - 1
 
-        def run(batches, sent=sent, number=number, last_block=last_block):
-            bench = Benchmark(sent.value, window)
+        def run(batches, sent=sent, name=name, number=number, last_block=last_block):
+            bench = built(name, sent, window)
             for batch in batches:
                 data, offsets = text_buffer(batch.column(at))
                 n_words, hits, items = [], [], []
@@ -226,15 +249,20 @@ def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, block_words: i
                 if last_block:
                     yield finish(columns, n_words, hits, items)
                 else:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], [*names, "__hits", "__items"])
-
-        out = out.mapInArrow(run, schema if last_block else f"{ddl}, __hits array<array<int>>, __items array<string>")
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))], [*names, *both])
+
+        out = out.mapInArrow(run, schema if last_block else between)
+        if not last_block:
+            before, written = written, Written(out)
+            out = written.df
+            if before is not None:
+                before.drop()
     return out
 
 
-def scan(bench: Benchmark, hashes: np.ndarray, first: np.ndarray) -> dict[int, tuple[list[list[int]], set[int]]]:
+def scan(bench: Benchmark, hashes: tuple[np.ndarray, np.ndarray], first: np.ndarray) -> dict[int, tuple[list[list[int]], set[int]]]:
     """Findings by document: hit word ranges (united, relative to the document) and items."""
-    numbers = bench.numbers_of(hashes)
+    numbers = bench.numbers_of(*hashes)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     linked = np.zeros(len(numbers) + 1, bool)  # the word and the one before are neighbours in some item
     if len(numbers) > 1 and len(bench.pairs):
@@ -312,8 +340,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_sh
             columns[at] = pa.array(texts, columns[at].type)
         return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _streamed(docs, benchmark, window, block_words, finish, ddl)
+    return _streamed(docs, benchmark, window, block_words, finish, ddl(docs))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Operator 7: n-gram Jaccard join that uses relations between sets.
 
-Method: every distinct set of shingles is one node. Shingles are ordered from rare to
-common by a fixed-size frequency table over all documents, and a node is listed under its
-rarest ones (its prefix), so linked nodes meet in a list. The lists are read by size and
-position: blocks of entries whose size, or whose position in the prefix, cannot reach the
-threshold are skipped as a whole, and a 1024-bit parity map of each set bounds the
-difference of what is left.
+Method: every distinct set of shingles is one node, known by 96 bits of two hashes and
+numbered. Shingles are ordered from rare to common by a fixed-size frequency table over all
+documents, and a node is listed under its rarest ones (its prefix), so linked nodes meet in a
+list. A list is ordered by size and position, a block for each size: blocks whose size cannot
+reach the threshold are skipped as a whole, the others from the position on that cannot, and
+a 1024-bit parity map of each set bounds the difference of what is left.
+
+A list of more than ``CHUNK`` entries is dealt in chunks: each two chunks meet in a task of
+their own (in the first turns, which only look for near sets, each chunk alone).
 
 Answers are derived from those of highly similar sets: in a list each set is first compared
 exactly with the one set that its map is nearest to, and takes over that set's answers if
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import U64, WORDS_3, Written, mix, release, slices, table, text_buffer, word_hashes, word_spans
-from pagelattice.llm.components import connected_components
+from pagelattice.llm.common import U64, WORDS_3, Written, fresh, mix, quoted, release, slices, table, text_buffer, text_key, word_hashes, word_spans
+from pagelattice.llm.components import connected_components, hot_limit, joined_apart
 from pagelattice.llm.substring_dedup import keyed
 
 SHINGLE = 3
@@ -41,6 +44,10 @@ MAP_BITS = 1024
 NEAREST_TURNS = 2
 #: Sets with this many shingles have a wide map too.
 LARGE = 800
+#: Entries of one list that are compared in one task.
+CHUNK = 1024
+#: Long lists that are named to every task; more are joined by shuffle.
+MOST_SENT_KEYS = 200_000
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[0x41:0x5B] += 32
 
@@ -49,8 +56,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     """(hashes of the shingles of texts, first shingle of each text and the end); a short text is one shingle."""
     data = UPPER[data]
     starts, ends, first = word_spans(data, offsets)
-    words = word_hashes(data, starts, ends)
-    prefix = WORDS_3.prefix(words)
+    prefix = WORDS_3.prefix(word_hashes(data, starts, ends)[0])
     count = np.diff(first)
     made = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     at = np.concatenate([[0], np.cumsum(made)])
@@ -125,8 +131,18 @@ def wide_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ folded).sum())
 
 
-LISTED = "kind byte, key long, node long, n int, pos int, doc_id long, th int, map binary, wide binary"
-DOC, POSTING = 0, 1
+LISTED = "kind byte, key long, node long, chk int, n int, pos int, doc_id long, th int, map binary, wide binary"
+NAMES = ["kind", "key", "node", "chk", "n", "pos", "doc_id", "th", "map", "wide"]
+#: LONG rows name a key and the number of its postings, where those are more than ``CHUNK``.
+DOC, POSTING, LONG = 0, 1, 2
+
+
+def identity(own: np.ndarray) -> tuple[int, int]:
+    """96 bits that tell sets apart, from two sums over their elements, each mixed another way."""
+    n = np.array([len(own)], U64)
+    one = mix(own).sum(dtype=U64) ^ mix(n)[0]
+    two = mix(mix(own ^ U64(0xA5A5A5A55A5A5A5A)) + U64(0x632BE59BD9B4E019)).sum(dtype=U64)
+    return int(one.view(np.int64)), int((mix(two + n) >> U64(32)).astype(np.uint32).view(np.int32)[0])
 
 
 def _postings(width: int, percent: int, sent):
@@ -136,64 +152,81 @@ def _postings(width: int, percent: int, sent):
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data, offsets = text_buffer(batch.column(2))
             for i, j in slices(offsets):
-                docs, keys, nodes, sizes, places = [], [], [], [], []
-                known: dict[int, int] = {}
+                docs, keys, nodes, checks, sizes, places = [], [], [], [], [], []
+                known: set[tuple[int, int]] = set()
                 for k, own in enumerate(ordered_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, ranks)):
                     n = len(own)
-                    node = int((mix(own).sum(dtype=U64) ^ mix(np.array([n], U64))[0]).view(np.int64))
+                    node = identity(own)
                     # the row is dealt by document, not by node: a node may stand for a third of all rows
                     docs.append((ids[i + k], node, n, parity_map(own) if node not in known else None, marks[i + k], wide_map(own) if node not in known else None))
                     if n and node not in known:
-                        known[node] = n
+                        known.add(node)
                         p = prefix_length(n, percent)
                         keys.append(own[:p].view(np.int64))
-                        nodes.append(np.full(p, node))
+                        nodes.append(np.full(p, node[0]))
+                        checks.append(np.full(p, node[1], np.int32))
                         sizes.append(np.full(p, n, np.int32))
                         places.append(np.arange(p, dtype=np.int32))
                 d = len(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(d, DOC, np.int8)), pa.array([(x[0] or 0) * 0x9E3779B1 % (1 << 62) for x in docs], pa.int64()), pa.array([x[1] for x in docs], pa.int64()), pa.array([x[2] for x in docs], pa.int32()), pa.array(np.zeros(d, np.int32)), pa.array([x[0] for x in docs], pa.int64()), pa.array([x[4] for x in docs], pa.int32()), pa.array([x[3] for x in docs], pa.binary()), pa.array([x[5] for x in docs], pa.binary())],
-                    ["kind", "key", "node", "n", "pos", "doc_id", "th", "map", "wide"],
+                    [pa.array(np.full(d, DOC, np.int8)), pa.array([(x[0] or 0) * 0x9E3779B1 % (1 << 62) for x in docs], pa.int64()), pa.array([x[1][0] for x in docs], pa.int64()), pa.array([x[1][1] for x in docs], pa.int32()), pa.array([x[2] for x in docs], pa.int32()), pa.array(np.zeros(d, np.int32)), pa.array([x[0] for x in docs], pa.int64()), pa.array([x[4] for x in docs], pa.int32()), pa.array([x[3] for x in docs], pa.binary()), pa.array([x[5] for x in docs], pa.binary())],
+                    NAMES,
                 )
                 if keys:
                     m = sum(map(len, keys))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, POSTING, np.int8)), *(pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, places)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
-                        ["kind", "key", "node", "n", "pos", "doc_id", "th", "map", "wide"],
+                        [pa.array(np.full(m, POSTING, np.int8)), *(pa.array(np.concatenate(x)) for x in (keys, nodes, checks, sizes, places)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+                        NAMES,
                     )
 
     return run
 
 
-def _shared(batches):
-    """Of rows ordered by (kind, key, node): documents as they are, and postings under keys with several nodes, each once."""
-    carry = None  # the last posting, and whether its key has been passed on
-    for batch in batches:
-        kind = batch.column(0).to_numpy()
-        if (kind == DOC).any():
-            yield batch.filter(pa.array(kind == DOC))
-            batch = batch.filter(pa.array(kind == POSTING))
-        if not batch.num_rows:
-            continue
-        if carry is not None:
-            batch = pa.Table.from_batches([carry[0], batch]).combine_chunks().to_batches()[0]
-        key, node = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        once = new.copy()
-        once[1:] |= node[1:] != node[:-1]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, once) > 1
-        passed = carry is not None and carry[1]
-        if passed:
-            several[0] = True
-        keep = once & several[group]
-        if passed:
-            keep[0] = False
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-        # equal (key, node) rows may go on in the next batch; the last one stands for them
-        carry = (batch.slice(len(key) - 1, 1), bool(several[-1]))
+def _long(keys: list[int], counts: list[int]) -> pa.RecordBatch:
+    m = len(keys)
+    zeros = pa.array(np.zeros(m, np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(m, LONG, np.int8)), pa.array(keys, pa.int64()), pa.array(np.zeros(m, np.int64)), zeros, pa.array(counts, pa.int32()), zeros, *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], NAMES)
+
+
+def _shared(chunk: int):
+    """Of rows ordered by (kind, key, node, chk): documents as they are, and postings under keys with several nodes, each
+    once; after them the keys with more than ``chunk``."""
+
+    def run(batches):
+        carry, count = None, 0  # the last posting, and the nodes of its key so far
+        for batch in batches:
+            kind = batch.column(0).to_numpy()
+            if (kind == DOC).any():
+                yield batch.filter(pa.array(kind == DOC))
+                batch = batch.filter(pa.array(kind == POSTING))
+            if not batch.num_rows:
+                continue
+            if carry is not None:
+                batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            key, node, chk = (batch.column(c).to_numpy() for c in (1, 2, 3))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            once = new.copy()
+            once[1:] |= (node[1:] != node[:-1]) | (chk[1:] != chk[:-1])
+            group = np.cumsum(new) - 1
+            counts = np.bincount(group, once).astype(np.int64)
+            passed = count > 1
+            if carry is not None:
+                counts[0] += count - 1  # the carried row is counted already
+            keep = once & (counts > 1)[group]
+            if passed:
+                keep[0] = False
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+            many = np.flatnonzero(counts[:-1] > chunk)
+            if len(many):
+                yield _long(key[np.flatnonzero(new)[many]].tolist(), counts[many].tolist())
+            # equal (key, node) rows may go on in the next batch; the last one stands for them
+            carry, count = batch.slice(len(key) - 1, 1), int(counts[-1])
+        if carry is not None and count > chunk:
+            yield _long(carry.column(1).to_pylist(), [count])
+
+    return run
 
 
 def apart(n: np.ndarray, pos: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -210,24 +243,41 @@ def apart(n: np.ndarray, pos: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np
     return out
 
 
-def list_pairs(n, pos, maps, comp, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries of one list to compare; entries are ordered by size.
+def reachable(i: int, n, pos, place, sizes, starts, percent: int) -> np.ndarray:
+    """The entries of a list that may link with entry i by size and position; blocks of other sizes, and what follows
+    the last position that can in a block, are skipped. ``place`` is size << 32 | position, in order."""
+    a = n[i]
+    first, last = np.searchsorted(sizes, -(-percent * a // 100)), np.searchsorted(sizes, 100 * a // percent, "right")
+    b = sizes[first:last]
+    need = least_common(a + b, percent)
+    live = a - pos[i] >= need
+    b, need, low = b[live], need[live], starts[first:last][live]
+    length = np.searchsorted(place, (b << 32) + (b - need), "right") - low
+    length = np.maximum(length, 0)
+    return np.repeat(low - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
 
-    ``nearest``: each entry with the one it seems nearest to. Else every pair of different components that may link.
+def list_pairs(n, pos, maps, comp, percent: int, nearest: bool, side=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of one list to compare; entries are ordered by size and position.
+
+    ``nearest``: each entry with the one it seems nearest to. Else every pair of different components that may link;
+    with ``side`` only pairs of different sides.
     """
-    m = len(n)
     names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return np.zeros(0, int), np.zeros(0, int)
     left, right = [], []
     main = int(count.argmax())
-    low = np.searchsorted(n, -(-percent * n // 100))
-    high = np.searchsorted(n, 100 * n // percent, "right")
-    for i in range(m) if len(names) == m else np.flatnonzero(which != main).tolist():
-        j = np.arange(low[i], high[i])  # the block of sizes that can link; the rest of the list is skipped
+    place = (n << 32) + pos
+    starts = np.flatnonzero(np.diff(n, prepend=-1))
+    sizes = n[starts]
+    for i in range(len(n)) if len(names) == len(n) else np.flatnonzero(which != main).tolist():
+        j = reachable(i, n, pos, place, sizes, starts, percent)
         j = j[which[j] != which[i]]
         if not nearest:
             j = j[(which[j] == main) | (j > i)]
+        if side is not None:
+            j = j[side[j] != side[i]]
         if not len(j):
             continue
         far = apart(n, pos, maps, np.full(len(j), i), j, percent)
@@ -244,24 +294,27 @@ def list_pairs(n, pos, maps, comp, percent: int, nearest: bool) -> tuple[np.ndar
 
 
 def _candidates(percent: int, nearest: bool):
-    """Of postings (key, node, n, pos, comp, map) dealt by key and ordered by (key, n, pos, node): pairs of nodes to compare."""
+    """Of postings (key, one, two, own, node, n, pos, comp, map) dealt by (key, one, two) and ordered by (key, one, two, n, pos, node):
+    pairs of nodes to compare. ``one`` and ``two`` are the chunks of a long list that meet, ``own`` is the entry's."""
 
-    def pairs(batch):
-        key, node, n, pos, comp = (batch.column(c).to_numpy() for c in range(5))
+    def pairs(batch, begin):
+        one, two, own, node, n, pos, comp = (batch.column(c).to_numpy() for c in range(1, 8))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        maps = text_buffer(batch.column(5))[0].view(U64).reshape(len(key), MAP_BITS // 64)
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
+        maps = text_buffer(batch.column(8))[0].view(U64).reshape(len(n), MAP_BITS // 64)
+        size = np.diff(np.append(begin, len(n)))
         left, right = [], []
-        two = begin[size == 2]
-        if len(two):
-            ok = (apart(n, pos, maps, two, two + 1, percent) < np.inf) & (comp[two] != comp[two + 1])
-            left.append(two[ok])
-            right.append(two[ok] + 1)
-        for b, s in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-            x, y = list_pairs(n[b : b + s], pos[b : b + s], maps[b : b + s], comp[b : b + s], percent, nearest)
-            left.append(x + b)
-            right.append(y + b)
+        pair = begin[(size == 2) & (one[begin] == two[begin])]
+        if len(pair):
+            ok = (apart(n, pos, maps, pair, pair + 1, percent) < np.inf) & (comp[pair] != comp[pair + 1])
+            left.append(pair[ok])
+            right.append(pair[ok] + 1)
+        for b, s in zip(begin.tolist(), size.tolist()):
+            e = b + s
+            across = one[b] != two[b]
+            if s > 2 or across and s > 1:
+                x, y = list_pairs(n[b:e], pos[b:e], maps[b:e], comp[b:e], percent, nearest, own[b:e] if across else None)
+                left.append(x + b)
+                right.append(y + b)
         if not left:
             return None
         x, y = node[np.concatenate(left)], node[np.concatenate(right)]
@@ -269,21 +322,22 @@ def _candidates(percent: int, nearest: bool):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"]) if len(both) else None
 
     def run(batches):
-        carry = None
+        held = []  # the rows of the last list, at most two chunks
         for batch in batches:
-            if carry is not None and carry.num_rows:
-                batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-            key = batch.column(0).to_numpy()
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            cut = int(np.flatnonzero(key == key[-1])[0])
+            if held:
+                batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            key, one, two = (batch.column(c).to_numpy() for c in range(3))
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            cut = int(begin[-1])
             if cut:
-                out = pairs(batch.slice(0, cut))
+                out = pairs(batch.slice(0, cut), begin[:-1])
                 if out is not None:
                     yield out
-            carry = batch.slice(cut)
-        if carry is not None and carry.num_rows:
-            out = pairs(carry)
+            held = [batch.slice(cut)]
+        if held:
+            out = pairs(held[0], np.zeros(1, np.int64))
             if out is not None:
                 yield out
 
@@ -336,57 +390,102 @@ def _thinned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "nu", "nv", "wu", "wv").mapInArrow(_not_apart(percent), "u long, v long")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> Written:
     """The written pairs whose texts' sets reach the threshold; only texts in some pair are moved."""
-    pairs = Written(_thinned(pairs, nodes, percent)).df
+    thin = Written(_thinned(pairs, nodes, percent))
+    pairs = thin.df
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     texts = Written(_texts(rows, wanted.join(nodes.select("node", "rep"), "node").where("rep is not null")))
     release(rows.sparkSession)
     of = texts.df
     joined = pairs.join(of.select(F.col("node").alias("v"), F.col("text").alias("tv")).hint("merge"), "v").join(of.select(F.col("node").alias("u"), F.col("text").alias("tu")).hint("merge"), "u")
-    out = Written(joined.select("u", "v", "tu", "tv").mapInArrow(_verified(width, percent), "u long, v long")).df
+    out = Written(joined.select("u", "v", "tu", "tv").mapInArrow(_verified(width, percent), "u long, v long"))
     texts.drop()
+    thin.drop()
     release(rows.sparkSession)
     return out
 
 
-def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
+def _dealt(entries: DataFrame, long: DataFrame, few: bool, chunk: int, nearest: bool) -> DataFrame:
+    """Entries (key, one, two, own, node, n, pos, comp, map): those of long lists once for each chunk that theirs meets."""
+    of_key = F.broadcast(long) if few else long.hint("merge")
+    parts = F.ceil(F.col("entries") / F.lit(chunk)).cast("int")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
+    out = entries.join(of_key.select("key", parts.alias("parts")), "key", "left").withColumn("own", own)
+    meets = F.array("own") if nearest else F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    out = out.withColumn("met", F.explode(meets))
+    return out.select("key", F.least("own", "met").alias("one"), F.greatest("own", "met").alias("two"), "own", "node", "n", "pos", "comp", "map")
+
+
+def jaccard_components(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``; see the module for the method."""
+    out = classes(docs, width, percent, chunk)
+    of = F.when(F.col("n") > 0, F.col("smallest.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of.alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller (doc_id, text key); all columns as they are.
+
+    Equal rows stay together; rows without words or without doc_id stay.
+    """
+    found = classes(docs, width, percent).where("n > 0 and doc_id is not null")
+    names = fresh(docs.columns, "own_id", "own_key")
+    gone = found.where((F.col("doc_id") != F.col("smallest.doc_id")) | (F.col("th") != F.col("smallest.th"))).select(F.col("doc_id").alias(names[0]), F.col("th").alias(names[1])).distinct()
+    rows = docs.withColumns({names[0]: F.col("doc_id").cast("long"), names[1]: text_key()})
+    return rows.join(gone, names, "left_anti").select(*map(quoted, docs.columns))
+
+
+def classes(docs: DataFrame, width: int = SHINGLE, percent: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, th, n, smallest) of each row: its text's key, the size of its set, and the smallest (doc_id, th) of its component."""
     rows = keyed(docs)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequency_ranks(rows, width))  # 2**TABLE_BITS numbers
-    listed = rows.mapInArrow(_postings(width, percent, sent), LISTED).repartition("key").sortWithinPartitions("kind", "key", "node").mapInArrow(_shared, LISTED)
+    listed = rows.mapInArrow(_postings(width, percent, sent), LISTED).repartition("key").sortWithinPartitions("kind", "key", "node", "chk").mapInArrow(_shared(chunk), LISTED)
     listed = Written(listed).df
     release(spark)
-    members = listed.where(F.col("kind") == DOC).select("doc_id", "node", "n")
+    ident = ["node", "chk"]
+    members = listed.where(F.col("kind") == DOC).select("doc_id", "th", *ident, "n")
     rep = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))
-    nodes = listed.where(F.col("kind") == DOC).where("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.max("map").alias("map"), F.max("wide").alias("wide"))
-    postings = listed.where(F.col("kind") == POSTING).select("key", "node", "n", "pos")
+    found = listed.where((F.col("kind") == DOC) & (F.col("n") > 0)).groupBy(*ident).agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.max("map").alias("map"), F.max("wide").alias("wide"), F.count("*").alias("copies"))
+    # the number of a node stands for its 96 bits from here on
+    numbered = Written(found.withColumn("id", F.monotonically_increasing_id())).df
+    release(spark)
+    nodes = numbered.select(F.col("id").alias("node"), "rep", "n", "map", "wide")
+    postings = listed.where(F.col("kind") == POSTING).select("key", *ident, "n", "pos")
+    long = listed.where(F.col("kind") == LONG).select("key", F.col("n").alias("entries"))
+    few = long.count() <= MOST_SENT_KEYS
     shape = "u long, v long"
 
     def candidates(entries, nearest):
-        entries = entries.select("key", "node", "n", "pos", "comp", "map").repartition("key").sortWithinPartitions("key", "n", "pos", "node")
-        return entries.mapInArrow(_candidates(percent, nearest), shape).distinct()
+        cut = ["key", "one", "two"]
+        dealt = _dealt(entries, long, few, chunk, nearest).repartition(*cut).sortWithinPartitions(*cut, "n", "pos", "node")
+        return dealt.mapInArrow(_candidates(percent, nearest), shape).distinct()
 
-    with_maps = postings.join(nodes.select("node", "map").hint("merge"), "node")
+    with_maps = postings.join(numbered.select(*ident, "id", "map").hint("merge"), ident).select("key", F.col("id").alias("node"), "n", "pos", "map")
     entries = with_maps.withColumn("comp", F.col("node"))
-    tested, links, comps = None, None, None
+    tested, links, comps, used = None, None, None, []
     for turn in range(NEAREST_TURNS + 1):
         pairs = candidates(entries, turn < NEAREST_TURNS)
-        pairs = Written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")).df
+        pairs = Written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         release(spark)
-        found = _links(pairs, nodes, rows, width, percent)
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.union(found)
+        found = _links(pairs.df, nodes, rows, width, percent)
+        used += [pairs, found]
+        if links is None or found.df.limit(1).count():
+            links = found.df if links is None else links.union(found.df)
             comps = Written(connected_components(links)).df
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = pairs.df if tested is None else tested.union(pairs.df)
         entries = with_maps.join(comps.select("node", "label"), "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    for t in used:
+        t.drop()
     # the smallest doc_id of each component; a set without links is its own component
-    of_node = nodes.join(comps, "node", "left").select("node", F.col("rep.doc_id").alias("rep"), F.coalesce("label", "node").alias("label"))
-    smallest = of_node.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_node = of_node.join(smallest, "label").select("node", "component_id")
-    out = members.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_node = numbered.select("id", "node", "chk", "copies", "rep").join(comps.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    smallest = of_node.groupBy("label").agg(F.min("rep").alias("smallest"), F.count("*").alias("many"))
+    limit = hot_limit(members.count())
+    of_label = joined_apart(of_node, smallest.select("label", "smallest"), ["label"], "id", smallest.where(F.col("many") > limit).select("label"))
+    by_node = of_label.select(*ident, "smallest")
+    common = numbered.where(F.col("copies") > limit).select(*ident)
+    return joined_apart(members, by_node, ident, "doc_id", common, "left").select("doc_id", "th", "n", "smallest")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:

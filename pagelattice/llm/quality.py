@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import SLICE_BYTES, Written, slices, table, text_buffer
+from pagelattice.llm.common import SLICE_BYTES, Written, ddl, fresh, quoted, slices, table, text_buffer
 
 ORDER = 4
 QUANTILE = 0.999
@@ -49,6 +49,8 @@ TOXIC_WIDTH = 12
 REPEAT_WIDTH = 40
 LEAST_TOXIC = 20
 MOST_SENT_IDS = 1_000_000
+#: Languages whose limits are sent to the tasks; more are joined by shuffle.
+MOST_SENT_LANGUAGES = 100_000
 #: Rows of all tables of a model that is sent to the tasks, at most 24 bytes each.
 MOST_SENT_GRAMS = 2_000_000
 #: Different n-grams that a task holds while it counts; more are passed on in parts.
@@ -297,8 +299,12 @@ def repeats(place: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-#: What ``figures`` gives of each text.
-FIGURES = ["__n", "__perplexity", "__toxic", "__repeat"]
+#: What ``figures`` gives of each text; as columns beside others they may get other names (``figure_names``).
+FIGURES = ["n_symbols", "perplexity", "toxic_stretch", "repeat_stretch"]
+
+
+def figure_names(docs: DataFrame) -> list[str]:
+    return fresh(docs.columns, *FIGURES)
 
 
 def figures(texts: list[str], alphabet: Alphabet, order: int, size: int, logs_of) -> list[pa.Array]:
@@ -347,7 +353,7 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def document_grams(rows: DataFrame, model: Model) -> DataFrame:
-    """(__row, context, symbol, n): the different n-grams of each document with their counts."""
+    """(row_, context, symbol, n): the different n-grams of each document with their counts."""
     order, size = model.order, model.size
     sent = rows.sparkSession.sparkContext.broadcast(model.alphabet.points)
 
@@ -362,9 +368,9 @@ def document_grams(rows: DataFrame, model: Model) -> DataFrame:
                 pairs, n = np.unique(owner * len(context) + place, return_counts=True)
                 of, gram = pairs // len(context), pairs % len(context)
                 ids = batch.column(0).take(pa.array(of + i))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(context[gram]), pa.array(symbol[gram].astype(np.int32)), pa.array(n)], ["__row", "context", "symbol", "n"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(context[gram]), pa.array(symbol[gram].astype(np.int32)), pa.array(n)], ["row_", "context", "symbol", "n"])
 
-    return rows.select("__row", "text").mapInArrow(run, "__row long, context long, symbol int, n long")
+    return rows.select("row_", "text").mapInArrow(run, "row_ long, context long, symbol int, n long")
 
 
 def joined_logs(asked: DataFrame, model: Model) -> DataFrame:
@@ -374,28 +380,29 @@ def joined_logs(asked: DataFrame, model: Model) -> DataFrame:
     for k in range(model.order, 0, -1):
         # the lowest tables have a row for each symbol at most and few keys for many rows
         near = F.broadcast if k <= 2 else lambda t: t
-        p = probabilities[k - 1].select(F.col("context").alias("own"), "symbol", F.log("p").alias("__p"))
-        b = backs[k - 1].select(F.col("context").alias("own"), F.log("back").alias("__b"))
+        p = probabilities[k - 1].select(F.col("context").alias("own"), "symbol", F.log("p").alias("p_"))
+        b = backs[k - 1].select(F.col("context").alias("own"), F.log("back").alias("b_"))
         out = out.withColumn("own", F.col("context") % F.lit(model.size ** (k - 1)))
         out = out.join(near(p) if k == 1 else p, ["own", "symbol"], "left").join(near(b), "own", "left")
-        out = out.select("context", "symbol", F.coalesce("log", F.col("weight") + F.col("__p")).alias("log"), (F.col("weight") + F.coalesce("__b", F.lit(0.0))).alias("weight"))
+        out = out.select("context", "symbol", F.coalesce("log", F.col("weight") + F.col("p_")).alias("log"), (F.col("weight") + F.coalesce("b_", F.lit(0.0))).alias("weight"))
     return out.select("context", "symbol", F.coalesce("log", F.col("weight") - F.log(F.lit(float(model.size)))).alias("log"))
 
 
 def scored_by_join(docs: DataFrame, model: Model) -> DataFrame:
     """As ``scored``: each document is joined with the log probabilities of its own n-grams."""
-    rows = Written(docs.withColumn("__row", F.monotonically_increasing_id())).df
-    own = Written(document_grams(rows, model)).df
+    mark, known_logs = fresh(docs.columns, "row_", "logs_")
+    rows = Written(docs.withColumn(mark, F.monotonically_increasing_id())).df
+    own = Written(document_grams(rows.select(F.col(mark).alias("row_"), "text"), model)).df
     asked = Written(own.select("context", "symbol").distinct()).df
     logs = joined_logs(asked, model).withColumnRenamed("log", "first")
     if model.toxic is not None:
         logs = logs.join(joined_logs(asked, model.toxic).withColumnRenamed("log", "second"), ["context", "symbol"])
     else:
         logs = logs.withColumn("second", F.lit(None).cast("double"))
-    lists = own.join(logs, ["context", "symbol"]).groupBy("__row").agg(F.collect_list(F.struct("context", "symbol", "first", "second")).alias("__logs"))
+    lists = own.join(logs, ["context", "symbol"]).groupBy(F.col("row_").alias(mark)).agg(F.collect_list(F.struct("context", "symbol", "first", "second")).alias(known_logs))
     order, size, has = model.order, model.size, model.toxic is not None
     sent = docs.sparkSession.sparkContext.broadcast(model.alphabet.points)
-    names = docs.columns
+    names, added = docs.columns, figure_names(docs)
     at = names.index("text")
 
     def run(batches):
@@ -414,20 +421,20 @@ def scored_by_join(docs: DataFrame, model: Model) -> DataFrame:
 
                 found.append(figures([text.as_py() or ""], alphabet, order, size, logs_of))
             if found:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.concat_arrays(x) for x in zip(*found))], [*names, *FIGURES])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.concat_arrays(x) for x in zip(*found))], [*names, *added])
 
-    return rows.join(lists, "__row", "left").select(*names, "__logs").mapInArrow(run, scored_schema(docs))
+    return rows.join(lists, mark, "left").select(*map(quoted, names), known_logs).mapInArrow(run, scored_schema(docs))
 
 
 def scored_schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __n long, __perplexity double, __toxic double, __repeat double"
+    return ddl(docs, *(f"{n} {t}" for n, t in zip(figure_names(docs), ("long", "double", "double", "double"))))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``FIGURES``: symbols, perplexity and the two worst stretches (null without symbols or a model)."""
     if model.levels is None:
         return scored_by_join(docs, model)
-    at = docs.columns.index("text")
+    at, added = docs.columns.index("text"), figure_names(docs)
     sent = model.sent(docs.sparkSession)
 
     def run(batches):
@@ -441,46 +448,54 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [figures(texts, own.alphabet, order, size, logs_of) for _, _, texts in batches_of(batch.column(at))]
             if found:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.concat_arrays(x) for x in zip(*found))], [*batch.schema.names, *FIGURES])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.concat_arrays(x) for x in zip(*found))], [*batch.schema.names, *added])
 
     return docs.mapInArrow(run, scored_schema(docs))
 
 
-def with_thresholds(rows: DataFrame, good: DataFrame, quantile: float) -> DataFrame:
-    """``rows`` with ``__threshold``, ``__toxic_limit`` and ``__repeat_limit``: ``MARGIN`` times the quantile of ``good`` in the row's language, or over all where there is none."""
-    limits = {"__threshold": "__perplexity", "__toxic_limit": "__toxic", "__repeat_limit": "__repeat"}
-    asked = [F.greatest(F.percentile_approx(x, quantile, 10_000), F.lit(0.0)).alias(name) if x == "__toxic" else F.percentile_approx(x, quantile, 10_000).alias(name) for name, x in limits.items()]
-    by_lang = {r["lang"]: r for r in good.where("lang is not null").groupBy("lang").agg(*asked).collect()}
-    overall = good.agg(*asked).first()
-    for name in limits:
-        out = F.lit(float("inf") if overall[name] is None else overall[name])
-        for lang, r in sorted(by_lang.items()):
-            if r[name] is not None:
-                out = F.when(F.col("lang") == lang, F.lit(r[name])).otherwise(out)
-        rows = rows.withColumn(name, out * MARGIN)
-    return rows
+def language_limits(good: DataFrame, quantile: float) -> DataFrame:
+    """(lang, limits...) from the figures of trusted documents: ``MARGIN`` times the quantile of each, one row for each
+    language and one without language for all others."""
+
+    def asked(x):
+        limit = F.percentile_approx(x, quantile, 10_000)
+        return ((F.greatest(limit, F.lit(0.0)) if x == FIGURES[2] else limit) * MARGIN).alias(x)
+
+    overall = good.agg(*map(asked, FIGURES[1:])).withColumn("lang", F.lit(None).cast("string"))
+    by_lang = good.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(*map(asked, FIGURES[1:]))
+    return by_lang.unionByName(overall)
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, size: int | None = None) -> DataFrame:
-    """The rows of ``docs`` with ``FIGURES``, their limits and ``__keep``."""
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, size: int | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows of ``docs`` with ``FIGURES``, the limit of the perplexity and whether each is kept; and the names of those columns."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     good = trusted(known, labels)
     model = train(good, order, size, toxic=labelled_toxic(known, labels))
+    names = fresh(docs.columns, *FIGURES, "threshold", "keep")
+    n, figure, limit, keep = names[0], names[1:4], names[4], names[5]
+    none = F.lit(None).cast("double")
     if model is None:
         has = F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) > 0
-        return docs.withColumns({"__n": F.length("text").cast("long"), "__perplexity": F.lit(None).cast("double"), "__threshold": F.lit(None).cast("double"), "__keep": has})
-    limits = Written(scored(good, model).select("lang", *FIGURES[1:]).where("__perplexity is not null")).df
-    out = with_thresholds(scored(docs, model), limits, quantile)
-    fine = (F.col("__perplexity") <= F.col("__threshold")) & (F.col("__repeat") <= F.col("__repeat_limit")) & F.coalesce(F.col("__toxic") <= F.col("__toxic_limit"), F.lit(True))
-    return out.withColumn("__keep", F.coalesce(fine, F.lit(False)))
+        return docs.withColumns({n: F.length("text").cast("long"), **{x: none for x in (*figure, limit)}, keep: has}), names
+    limits = Written(language_limits(scored(good, model).where(F.col(FIGURES[1]).isNotNull()), quantile)).df
+    overall = limits.where("lang is null").first()
+    own = fresh([*docs.columns, *names], "own_lang", *(f"{x}_limit" for x in FIGURES[1:]))
+    of_lang = limits.where("lang is not null").select("lang", *FIGURES[1:]).toDF(*own)
+    of_lang = F.broadcast(of_lang) if of_lang.count() <= MOST_SENT_LANGUAGES else of_lang.hint("merge")
+    out = scored(docs, model).join(of_lang, F.col("lang").cast("string") == F.col(own[0]), "left")
+    limit_of = [F.coalesce(F.col(o), F.lit(float("inf") if overall[x] is None else overall[x])) for o, x in zip(own[1:], FIGURES[1:])]
+    perplexity, toxic, repeat = (F.col(f) <= at for f, at in zip(figure, limit_of))
+    fine = perplexity & repeat & F.coalesce(toxic, F.lit(True))
+    return out.withColumns({limit: limit_of[0], keep: F.coalesce(fine, F.lit(False))}).drop(*own), names
 
 
 def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    return judged(docs, labels, quantile).where("__keep").select(*docs.columns)
+    out, names = judged(docs, labels, quantile)
+    return out.where(F.col(names[5])).select(*map(quoted, docs.columns))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    out = judged(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "lang", F.col("__n").alias("n_symbols"), F.col("__perplexity").alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__keep").alias("keep"))
+    out, _ = judged(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", "keep")

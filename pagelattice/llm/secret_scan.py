@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import sha, slices, table, text_buffer
+from pagelattice.llm.common import ddl, fresh, quoted, sha, slices, table, text_buffer
 
 
 @dataclass(frozen=True)
@@ -217,11 +217,8 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str, keep: tuple[st
                             found[i + k].append((a, n, b))
             yield finish([batch.column(c) for c in range(len(keep))], column, [sorted(x) for x in found])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    (scanned,) = fresh(keep, "scanned")
+    return docs.select(*map(quoted, keep), F.col(quoted(text)).cast("string").alias(scanned)).mapInArrow(run, schema)
 
 
 def scan_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -232,7 +229,7 @@ def scan_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], [*keep, "found"])
 
-    return _scanned(docs, rules, text, keep, finish, f"{_ddl(docs.select(*keep))}, found array<struct<kind: string, start: int, end: int>>")
+    return _scanned(docs, rules, text, keep, finish, ddl(docs.select(*map(quoted, keep)), "found array<struct<kind: string, start: int, end: int>>"))
 
 
 def quick(rule: Rule) -> re.Pattern:
@@ -266,7 +263,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[sec
             columns[at] = pa.array(texts, columns[at].type)
         return pa.RecordBatch.from_arrays(columns, list(names))
 
-    return _scanned(docs, rules, "text", names, finish, _ddl(docs))
+    return _scanned(docs, rules, "text", names, finish, ddl(docs))
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

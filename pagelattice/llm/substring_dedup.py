@@ -2,13 +2,15 @@
 
 Method: documents are joined on winnowed anchors (hashes of ``GRAM`` words, one for each
 run of windows, see ``seeds``). Around a shared anchor the match is extended to both
-sides: first to the whole run, left and right of the anchor, which settles copies; where
-runs on the same anchor differ, by every split of the missing words between the left and
-the right side. Matches of ``WIDTH`` words or more that a document with a smaller doc_id
-holds are united into maximal repeats and cut.
-
-Nothing is compared pair by pair: equal runs (and then equal windows) meet by their
-128-bit hashes, ordered by doc_id, and all but the smallest are marked. A task settles its
+sides, by keys rather than word by word: first to the whole run, left and right of the
+anchor, which settles copies; where runs on the same anchor differ, to each split of the
+missing words between the left and the right side, that is to every window that holds the
+anchor. Matches of ``WIDTH`` words or more that a document with a smaller doc_id holds are
+united into maximal repeats and cut.
+
+Nothing is compared pair by pair: equal runs (and then equal windows) meet by two 64-bit
+hashes of their own, over two independent hashes of each word, ordered by doc_id, and all
+but the smallest are marked. A task settles its
 own copies before the shuffle, so a passage held by a third of all documents reaches the
 anchor's task once for each batch of rows; of a common line with other text around it each
 time, two rows and a mark do, and the rest goes on to its windows at once. The task streams
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WORDS_1, WORDS_2, Written, sha, slices, table, text_buffer, text_key, word_hashes, word_spans
+from pagelattice.llm.common import WORDS_1, WORDS_2, Written, ids_of, sha, slices, table, text_buffer, text_key, word_hashes, word_spans
 from pagelattice.llm.seeds import REMOVED, ROWS, Rows, runs, settle, settle_here
 
 WIDTH = 50
@@ -34,7 +36,7 @@ GRAM = 25
 
 
 def _slices(batch):
-    """Of a batch (doc_id, th, text, ...): first row, last row, word hashes, first word of each document."""
+    """Of a batch (doc_id, th, text, ...): first row, last row, both hashes of the words, first word of each document."""
     data, offsets = text_buffer(batch.column(2))
     for i, j in slices(offsets):
         part = data[offsets[i] : offsets[j]]
@@ -45,14 +47,13 @@ def _slices(batch):
 def _runs(width: int, gram: int):
     def run(batches):
         for batch in batches:
-            doc_id, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc_id, th = ids_of(batch.column(0)), ids_of(batch.column(1))
             parts = []
-            for i, _, words, first in _slices(batch):
-                prefix = WORDS_1.prefix(words)
-                grams = WORDS_1.grams(prefix, gram)
+            for i, _, (words, others), first in _slices(batch):
+                grams = WORDS_1.grams(WORDS_1.prefix(words), gram)
                 place, lo, n = runs(grams, first, width, gram)
                 doc = np.searchsorted(first, lo, "right") - 1
-                text = WORDS_2.ranges(WORDS_2.prefix(words), lo, lo + n + (width - 1)) + n.astype(np.uint64)
+                text = WORDS_2.ranges(WORDS_2.prefix(others), lo, lo + n + (width - 1)) + n.astype(np.uint64)
                 parts.append(Rows(grams[place].view(np.int64), text.view(np.int64), doc_id[i + doc], th[i + doc], (lo - first[doc]).astype(np.int32), n.astype(np.int32)))
             yield from settle_here(parts, same_doc=False)
 
@@ -67,9 +68,9 @@ def _windows(width: int):
             listed = batch.column(3)
             if listed.null_count == len(listed):
                 continue
-            doc_id, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            doc_id, th = ids_of(batch.column(0)), ids_of(batch.column(1))  # rows with a null id have no runs
             parts = []
-            for i, j, words, first in _slices(batch):
+            for i, j, (words, others), first in _slices(batch):
                 lo, doc = [], []
                 for k, found in enumerate(listed.slice(i, j - i).to_pylist()):
                     for x in found or ():
@@ -79,8 +80,8 @@ def _windows(width: int):
                     continue
                 lo, doc = np.concatenate(lo), np.concatenate(doc)
                 one = WORDS_1.ranges(WORDS_1.prefix(words), lo, lo + width)
-                two = WORDS_2.ranges(WORDS_2.prefix(words), lo, lo + width)
-                parts.append(Rows(one.view(np.int64), two.view(np.int64), doc_id[i + doc].astype(np.int64), th[i + doc], (lo - first[doc]).astype(np.int32), np.ones(len(lo), np.int32)))
+                two = WORDS_2.ranges(WORDS_2.prefix(others), lo, lo + width)
+                parts.append(Rows(one.view(np.int64), two.view(np.int64), doc_id[i + doc], th[i + doc], (lo - first[doc]).astype(np.int32), np.ones(len(lo), np.int32)))
             yield from settle_here(parts, same_doc=False)
 
     return run
@@ -91,7 +92,7 @@ def _settled(rows: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", text_key().alias("th"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import BYTE_VALUES, BYTES_1, BYTES_2, Written, sha, slices, table, text_buffer
+from pagelattice.llm.common import BYTES_1, BYTES_2, EIGHT, Written, byte_values, ids_of, sha, slices, table, text_buffer
 from pagelattice.llm.seeds import COLUMNS, REMOVED, ROWS, WIDE, Rows, merged, runs, settle, settle_here, spread
 from pagelattice.llm.substring_dedup import keyed
 
@@ -46,18 +46,17 @@ def _slices(batch):
 def _runs(width: int, gram: int):
     def run(batches):
         for batch in batches:
-            doc_id, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc_id, th = ids_of(batch.column(0)), ids_of(batch.column(1))
             parts = []
             for i, _, data, first in _slices(batch):
-                values = BYTE_VALUES[data]
-                place, lo, n = runs(BYTES_1.grams(BYTES_1.prefix(values), gram), first, width, gram)
+                one, two = byte_values(data)
+                grams = BYTES_1.grams(BYTES_1.prefix(one), gram - EIGHT)
+                place, lo, n = runs(grams, first, width, gram)
                 if not len(lo):
                     continue
-                one, two = BYTES_1.prefix(values), BYTES_2.prefix(values)
                 doc = np.searchsorted(first, lo, "right") - 1
-                text = BYTES_2.ranges(two, lo, lo + n + (width - 1)) + n.astype(np.uint64)
-                anchor = BYTES_1.ranges(one, place, place + gram)
-                parts.append(Rows(anchor.view(np.int64), text.view(np.int64), doc_id[i + doc], th[i + doc], (lo - first[doc]).astype(np.int32), n.astype(np.int32)))
+                text = BYTES_2.ranges(BYTES_2.prefix(two), lo, lo + n + (width - 1 - EIGHT)) + n.astype(np.uint64)
+                parts.append(Rows(grams[place].view(np.int64), text.view(np.int64), doc_id[i + doc], th[i + doc], (lo - first[doc]).astype(np.int32), n.astype(np.int32)))
             yield from settle_here(parts, same_doc=True)
 
     return run
@@ -76,9 +75,9 @@ def _windows(rows, width: int):
     piece = np.repeat(np.arange(len(rows)), n)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[piece] + offset
-    values = BYTE_VALUES[raw]
-    one = BYTES_1.ranges(BYTES_1.prefix(values), at, at + width)
-    two = BYTES_2.ranges(BYTES_2.prefix(values), at, at + width)
+    first, second = byte_values(raw)
+    one = BYTES_1.ranges(BYTES_1.prefix(first), at, at + width - EIGHT)
+    two = BYTES_2.ranges(BYTES_2.prefix(second), at, at + width - EIGHT)
     doc_id, th, lo = (np.array([r[c] for r in rows], np.int64)[piece] for c in (1, 2, 3))
     yield from settle_here([Rows(one.view(np.int64), two.view(np.int64), doc_id, th.astype(np.int32), (lo + offset).astype(np.int32), np.ones(len(at), np.int32))], same_doc=True)
 

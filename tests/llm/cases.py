@@ -10,3 +10,13 @@ def docs(spark, rows, extra="x"):
 
 def save(df, path, name="documents"):
     df.coalesce(2).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+
+
+def twins(letters="ab", steps=10):
+    """Two different words of 2 ** steps letters, on which every polynomial hash modulo a power of two agrees."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << steps)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+#: Names that operators might use for columns of their own.
+CLASHING = ["__n", "n_symbols", "Perplexity", "keep", "threshold", "hits", "ITEMS", "scanned", "__text", "own_id", "th", "row_", "part_", "label"]

@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from pagelattice.llm import seeds, substring_dedup, suffix_dedup
-from tests.llm.cases import docs, save
+from tests.llm.cases import docs, save, twins
 
 
 def corpus(seed, n=120):
@@ -139,3 +139,42 @@ def test_null_ids_and_empty(spark):
         assert f(docs(spark, [])).count() == 0
         assert len(f(docs(spark, rows)).collect()) == 3
     assert {r.n_removed for r in substring_dedup.digest(docs(spark, rows)).collect()} == {0}
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids beyond 2**53, one apart, in one batch with a row without id."""
+    rng = random.Random(31)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    base = 2**53
+    rows = [(base, text), (base + 1, text + " more words"), (None, "no id " * 40), (base + 2, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) + " " + text)]
+    for f, brute in ((substring_dedup.digest, brute_words), (suffix_dedup.digest, brute_bytes)):
+        want = brute([r for r in rows if r[0] is not None])
+        found = {r.doc_id: tuple(r)[1:] for r in f(docs(spark, rows).coalesce(1)).collect()}
+        assert all(found[i] == want[i] for i in want) and len(found) == 4
+        assert found[base + 1][1] > 0 and found[base + 2][1] > 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = twins()
+    filler = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join([*filler[:30], a, *filler[30:]])), (2, " ".join([*filler[:30], b, *filler[30:]])), (3, " ".join([*filler[:30], a, *filler[30:]]))]
+    want = brute_words(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(docs(spark, rows)).collect()} == want and want[2][1] == 0
+    rows = [(1, a + "x" * 50), (2, b + "x" * 50), (3, b + "y" * 50)]
+    want = brute_bytes(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(docs(spark, rows)).collect()} == want
+
+
+def test_word_hashes_tell_words_apart():
+    from pagelattice.llm.common import word_hashes
+
+    rng = random.Random(4)
+    words = list({bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 127, 128, 129, 300]))) for _ in range(3000)}) + [t.encode() for t in twins()]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    for h in word_hashes(data, starts, ends):
+        assert len(np.unique(h)) == len(words)
+    again = np.frombuffer(b"zz" + b"  ".join(words), np.uint8)
+    ends2 = np.cumsum([len(w) + 2 for w in words])
+    assert all((x == y).all() for x, y in zip(word_hashes(data, starts, ends), word_hashes(again, ends2 - [len(w) for w in words], ends2)))

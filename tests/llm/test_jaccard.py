@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from pagelattice.llm import components, jaccard_join
-from tests.llm.cases import docs, save
+from tests.llm.cases import docs, save, twins
 
 
 def brute(rows, width, percent):
@@ -56,11 +56,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
-def test_components_match_brute_force(spark, width, percent):
+@pytest.mark.parametrize("width,percent,chunk", [(3, 90, jaccard_join.CHUNK), (5, 80, 6)])
+def test_components_match_brute_force(spark, width, percent, chunk):
     rows = corpus(width)
     want = {rows[i][0]: x for i, x in brute(rows, width, percent).items()}
-    found = jaccard_join.jaccard_components(docs(spark, rows), width, percent).collect()
+    found = jaccard_join.jaccard_components(docs(spark, rows), width, percent, chunk).collect()
     assert len(found) == len(rows)
     bad = [(r, want[r.doc_id]) for r in found if (r.n_shingles, r.component_id) != want[r.doc_id]]
     assert not bad, (len(bad), bad[:3])
@@ -116,3 +116,40 @@ def test_connected_components(spark):
                 changed = True
     found = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()
     assert {r.node: r.label for r in found} == label and len(found) == len(label)
+
+
+def test_words_that_polynomials_confuse_are_not_linked(spark):
+    a, b = twins()
+    rows = [(1, f"one {a} two three"), (2, f"one {b} two three"), (3, f"One {a} two  three")]
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs(spark, rows)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_reachable_entries_are_those_that_size_and_position_allow():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        m = int(rng.integers(2, 60))
+        n = np.sort(rng.integers(1, 40, m))
+        pos = np.array([rng.integers(0, jaccard_join.prefix_length(int(x), 80)) for x in n])
+        by = np.lexsort((pos, n))
+        n, pos = n[by].astype(np.int64), pos[by].astype(np.int64)
+        starts = np.flatnonzero(np.diff(n, prepend=-1))
+        for i in range(m):
+            got = set(jaccard_join.reachable(i, n, pos, (n << 32) + pos, n[starts], starts, 80).tolist())
+            need = jaccard_join.least_common(n[i] + n, 80)
+            want = {j for j in range(m) if min(n[i], n[j]) >= need[j] and n[i] - pos[i] >= need[j] and n[j] - pos[j] >= need[j]}
+            assert want <= got
+            assert all(n[j] - pos[j] >= need[j] for j in got)
+
+
+def test_identity_and_joined_apart(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 50, 6, dtype=np.uint64)) for _ in range(3000)]
+    names = {tuple(s.tolist()): jaccard_join.identity(s) for s in sets}
+    assert len({x[0] for x in names.values()}) == len({x[1] for x in names.values()}) == len(names)
+    left = spark.createDataFrame([(0, i) for i in range(300)] + [(k, 1000 + k) for k in range(1, 9)], "k long, x long")
+    right = spark.createDataFrame([(k, k * 10) for k in range(8)], "k long, y long")
+    hot = spark.createDataFrame([(0,)], "k long")
+    got = [tuple(r) for r in components.joined_apart(left, right, ["k"], "x", hot, "left").collect()]
+    assert len(got) == 308
+    assert {(k, x): y for k, x, y in got} == {**{(0, i): 0 for i in range(300)}, **{(k, 1000 + k): k * 10 if k < 8 else None for k in range(1, 9)}}

@@ -140,7 +140,7 @@ def test_quality_of_many_scripts_sent_or_joined(spark):
         want = sum(math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s)))
         assert abs(model.score([t])[1][0] - want) < 1e-3 * abs(want)
     sent = {r.doc_id: r for r in quality.scored(data, model).collect()}
-    assert min(sent[80 + i]["__perplexity"] for i in range(6)) > 3 * max(sent[i]["__perplexity"] for i in range(80))
+    assert min(sent[80 + i]["perplexity"] for i in range(6)) > 3 * max(sent[i]["perplexity"] for i in range(80))
     bad = data.where("doc_id >= 80 and doc_id < 85").select("text")
     model, large = (quality.train(data.where("doc_id < 80"), most_sent=n, toxic=bad) for n in (None, 0))
     sent = {r.doc_id: r for r in quality.scored(data, model).collect()}
@@ -148,8 +148,8 @@ def test_quality_of_many_scripts_sent_or_joined(spark):
     joined = {r.doc_id: r for r in quality.scored(data, large).collect()}
     assert sent.keys() == joined.keys()
     for i, r in sent.items():
-        assert r["__n"] == joined[i]["__n"] and (r["__perplexity"] is None) == (joined[i]["__perplexity"] is None)
-        assert r["__perplexity"] is None or all(abs(r[x] - joined[i][x]) < 1e-4 * max(1, abs(r[x])) for x in quality.FIGURES)
+        assert r["n_symbols"] == joined[i]["n_symbols"] and (r["perplexity"] is None) == (joined[i]["perplexity"] is None)
+        assert r["perplexity"] is None or all(abs(r[x] - joined[i][x]) < 1e-4 * max(1, abs(r[x])) for x in quality.FIGURES)
 
 
 def test_quality_rejects_toxic_words_and_repeats_in_clean_text(spark, tmp_path):

@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pagelattice.llm import bpe
-from tests.llm.cases import docs, save
+from tests.llm.cases import CLASHING, docs, save
 from tests.llm.test_models import prose
 
 
@@ -57,3 +59,21 @@ def test_empty(spark, tmp_path):
     save(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_clashing_names(spark, tmp_path):
+    """A row goes by its own text: one doc_id may hold a copy and a text of its own. Extra columns pass every stage as they are."""
+    rows, extra, item = fixture(spark, tmp_path)
+    rng = random.Random(13)
+    own = prose(rng, "es", 70)
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet").union(docs(spark, [(5000, rows[3][1]), (5000, own, "es")]))
+    for name in CLASHING:
+        table = table.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    now = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == table.columns, name
+        if name == "near_duplicates":
+            assert [r.text for r in now.where("doc_id = 5000").collect()] == [own]
+    assert all(r[name] == f"{name}{r.doc_id}" for r in now.where("doc_id is not null").collect() for name in CLASHING)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == now.count()

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from pagelattice.llm import bpe, decontaminate, secret_scan
-from tests.llm.cases import docs, save
+from tests.llm.cases import docs, save, twins
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -142,3 +142,17 @@ def test_empty_tables(spark, tmp_path):
     save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
     for q in (bpe.op3_bpe, secret_scan.op6_secrets, decontaminate.op9_decontaminate):
         assert q(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_tells_confusing_words_apart(spark):
+    a, b = twins("ab")
+    items = spark.createDataFrame([(1, f"x {a} y")], "item_id long, text string")
+    found = {r.doc_id: r.n_hit for r in decontaminate.digest(docs(spark, [(1, f"q x {a} y"), (2, f"q x {b} y")]), items).collect()}
+    assert found == {1: 3, 2: 0}
+
+
+def test_benchmark_blocks_are_bounded(spark):
+    items = spark.createDataFrame([(i, "word " * (5 if i else 500)) for i in range(60)] + [(1, "word " * 5)], "item_id long, text string")
+    blocks = [b.collect() for b in decontaminate.blocks_of(items, 100)]
+    assert sum(map(len, blocks)) == 60 and len(blocks) > 1
+    assert all(len(b) == 1 or sum(len(r.text) for r in b) <= 200 for b in blocks)
