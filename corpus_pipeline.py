@@ -26,11 +26,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of each group of near duplicates the document with the smallest doc_id stays.
 
-    Rows that repeat a kept doc_id stay with it; a document without words, or without doc_id, is no duplicate.
+    Rows are judged one by one, by their text: of several texts with one doc_id each stays or goes with its own group.
+    A document without words, or without doc_id, is no duplicate.
     """
-    groups = jaccard_join.jaccard_components(docs, SHINGLE, PERCENT)
-    gone = groups.where("component_id is not null and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.representatives(docs, SHINGLE, PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
