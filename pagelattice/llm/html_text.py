@@ -11,9 +11,13 @@ that ``sample_page`` makes up from markup conventions (menus, headers, footers,
 notices, adverts, forms and reader comments around an article, with and without telling
 names); a fixed seed gives the same weights each time. The weights have a fixed size.
 
+A page of any length is labelled in the context of all its blocks: the states of both
+directions are carried through a long page, which is held in stretches.
+
 Defined results: null or empty html gives an empty text; a page without a block of main
-text gives an empty text; an element that is never closed ends with the page, and so does
-an unclosed comment, script or style; rows are answered one by one, repeated rows alike; an
+text gives an empty text; tags are cut as the HTML standard's tokenizer cuts them; an element
+that is never closed ends with the page, and so does an unclosed comment, script, style or tag;
+foreign content (svg) ends with its end tag or where a tag of the page itself begins; rows are answered one by one, repeated rows alike; an
 empty table gives an empty result; extra columns are never read.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import string
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,32 +36,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import table
+from pagelattice.llm.common import ddl, fresh, quoted, table
 
 PATH_SIZE, WORD_SIZE, HIDDEN = 96, 48, 24
 PAGES, EPOCHS, SEED = 2400, 9, 5
-#: Blocks of one page that the network reads in one go; longer pages are read in overlapping stretches.
-STRETCH, OVERLAP = 2000, 100
+#: Blocks that the network reads in one step of a long page; the states are carried from step to step.
+STRETCH = 2000
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg textarea iframe object canvas"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-HEAD = frozenset(("head", "title"))
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+FOREIGN = frozenset("svg math".split())
+LEAVES_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-CONTAINERS = frozenset("article aside body button dd div fieldset figure footer form header html li main nav section td th".split())
-
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+CONTAINERS = frozenset("article aside body button dd div fieldset figure footer form header html li main nav section td th ul ol".split())
+#: Elements whose content is not part of what a reader sees.
+HIDDEN_CONTENT = frozenset("template object canvas".split()) | FOREIGN
+
+# Tags as the standard's tokenizer cuts them: a quote only opens a value right after "=", and a comment may end at once.
+# Every part is possessive, so a tag is read once; one that the page ends in takes the rest of the page, as there.
+SPACE = r"[\t\n\f\r ]"
+ATTRIBUTE = rf"""=?+[^\t\n\f\r />=]*+(?:{SPACE}*+={SPACE}*+(?:"[^"]*+"|'[^']*+'|(?=>)|(?!["'])[^\t\n\f\r >]++))?+"""
+TAG = re.compile(rf"<(?:(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:(?:{SPACE}|/)++|(?=[^>]){ATTRIBUTE})*+)>|(!--)|([!?][^>]*+>?+|/>|/(?![a-zA-Z])[^>]++>?+)|(/?[a-zA-Z]))")
+COMMENT_END = re.compile(r"--!?>")
+SCRIPT = re.compile(r"(<!--)|(-->)|<(/?)script(?=[\t\n\f\r />])", re.I)
+NAMES = re.compile(r"""(?:^|[\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]{2,}")
 
 
+class Node:
+    """A tag path: the open elements, each with the parts of its class, id and role; equal paths share their node."""
+
+    __slots__ = ("children", "last", "sums", "vector")
+
+    def __init__(self, above: Node | None = None, parts: tuple[str, ...] = ()):
+        self.children: dict[tuple[str, ...], Node] = {}
+        self.last = ((above.last if above else ()) + parts)[-2:]
+        self.sums = above.sums.copy() if above else np.zeros(PATH_SIZE, np.float32)
+        for p in parts:
+            place, sign = _signed(p)
+            self.sums[place] += sign
+        self.vector: np.ndarray | None = None
+
+    def below(self, parts: tuple[str, ...]) -> Node:
+        found = self.children.get(parts)
+        if found is None:
+            found = self.children[parts] = Node(self, parts)
+        return found
+
+    def as_vector(self) -> np.ndarray:
+        if self.vector is None:
+            out = self.sums.copy()
+            for p in self.last:  # the innermost names once more, apart
+                place, sign = _signed("last" + p)
+                out[place] += sign
+            self.vector = np.clip(out, -2, 2)
+        return self.vector
+
+
+@lru_cache(50_000)
+def _signed(part: str) -> tuple[int, float]:
+    b = zlib.crc32(part.encode("utf-8", "surrogatepass"))
+    return b % PATH_SIZE, 1.0 if b & 0x10000 else -1.0
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    path: Node
     text: str
     linked: int
 
@@ -70,63 +117,145 @@ def element(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; white space is folded and references are decoded."""
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the end tag of a raw element begins whose content begins at ``at``; the page's end if there is none."""
+    if name == "script":  # a script inside a comment inside a script ends itself only
+        comment = inner = False
+        for m in SCRIPT.finditer(page, at):
+            if m[1]:
+                comment = True
+            elif m[2]:
+                comment = inner = False
+            elif not m[3]:
+                inner = comment
+            elif inner:
+                inner = False
+            else:
+                return m.start()
+        return len(page)
+    m = _closing(name).search(page, at)
+    return m.start() if m else len(page)
+
+
+@lru_cache(None)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\t\n\f\r />])", re.I)
+
+
+class Open:
+    """The open elements of a page, with the places of each name, so that no tag looks through a deep page."""
+
+    def __init__(self, root: Node):
+        self.names: list[str] = []
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+        self.hidden = 0
+
+    def push(self, name: str, attributes: str) -> None:
+        at = len(self.names)
+        self.names.append(name)
+        self.nodes.append(self.nodes[-1].below(element(name, attributes)))
+        self.places.setdefault(name, []).append(at)
+        if name in CONTAINERS:
+            self.containers.append(at)
+        self.hidden += name in HIDDEN_CONTENT
+
+    def cut(self, at: int) -> None:
+        while len(self.names) > at:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.places[name].pop()
+            if name in CONTAINERS:
+                self.containers.pop()
+            self.hidden -= name in HIDDEN_CONTENT
+
+    def close(self, name: str) -> None:
+        found = self.places.get(name)
+        if found:
+            self.cut(found[-1])
+
+    def close_implied(self, name: str) -> None:
+        """Ends an open ``name`` that no container other than itself separates from here."""
+        found = self.places.get(name)
+        if found and (not self.containers or self.containers[-1] <= found[-1]):
+            self.cut(found[-1])
+
+    def leave_foreign(self) -> None:
+        at = min((p[0] for p in map(self.places.get, FOREIGN) if p), default=None)
+        if at is not None:
+            self.cut(at)
+
+
+def blocks(page: str, root: Node | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, in linear time; white space is folded and references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack = Open(root or Node())
     pieces: list[str] = []
     linked = links = at = 0
 
+    def add(piece):
+        nonlocal linked
+        if not stack.hidden:
+            if "&" in piece:
+                piece = entities.unescape(piece)
+            pieces.append(piece)
+            if links:
+                linked += len(piece)
+
     def flush():
         nonlocal linked
         if pieces:
-            text = "".join(pieces)
-            if "&" in text:
-                text = entities.unescape(text)
-            text = " ".join(text.split())
-            if text and not any(e[0] in HEAD for e in stack):
-                out.append(Block(tuple(p for e in stack for p in e), text, min(linked, len(text))))
+            text = " ".join("".join(pieces).split())
+            if text:
+                out.append(Block(stack.nodes[-1], text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
-    for m in TAG.finditer(page):
+    find = TAG.search
+    while m := find(page, at):
         if m.start() > at:
-            piece = page[at : m.start()]
-            pieces.append(piece)
-            if links:
-                linked += len(piece)
+            add(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[2]
         if name is None:
-            continue  # a comment, a declaration or raw content
+            if m[4]:
+                if page.startswith((">", "->"), at):  # an empty comment
+                    at = page.index(">", at) + 1
+                else:
+                    end = COMMENT_END.search(page, at)
+                    at = end.end() if end else len(page)
+            elif m[6]:
+                at = len(page)
+            continue
         name = name.lower()
         if name in INLINE:
+            if stack.hidden and not m[1] and name in LEAVES_FOREIGN:
+                stack.leave_foreign()
             if name == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m[1] else 1
+            continue
+        if name in RAW and not m[1]:
+            if name != "noscript":
+                flush()
+            at = raw_end(page, name, at)
             continue
         flush()
-        links = 0 if m[2] or name != "br" else links
-        if name in VOID:
+        links = 0 if m[1] or name != "br" else links
+        if m[1]:
+            stack.close(name)
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        else:
-            if name in CLOSES_P or name == "li":
-                closes = "li" if name == "li" else "p"
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == closes:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in CONTAINERS or stack[k][0] in ("ul", "ol"):
-                        break
-            if name == "body":  # ends a head that nobody closed
-                stack = [e for e in stack if e[0] not in HEAD]
-            stack.append(element(name, m[4]))
+        if stack.hidden and name in LEAVES_FOREIGN:
+            stack.leave_foreign()
+        if name in VOID or name in FOREIGN and m[3].endswith("/"):
+            continue
+        if name in CLOSES_P:
+            stack.close_implied("p")
+        elif name == "li":
+            stack.close_implied("li")
+        stack.push(name, m[3])
     if at < len(page):
-        pieces.append(page[at:])
+        add(page[at:])
     flush()
     return out
 
@@ -136,30 +265,19 @@ def _bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
-@lru_cache(50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_SIZE, np.float32)
-    for k, p in enumerate(path):
-        b = zlib.crc32(p.encode())
-        out[b % PATH_SIZE] += 1.0 if b & 0x10000 else -1.0
-        if k >= len(path) - 2:  # the innermost names once more, apart
-            b = zlib.crc32(b"last" + p.encode())
-            out[b % PATH_SIZE] += 1.0 if b & 0x10000 else -1.0
-    return np.clip(out, -2, 2)
-
-
 WORD = re.compile(r"\w+")
 MEASURES = 9
 SIZE = PATH_SIZE + WORD_SIZE + MEASURES
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), SIZE), np.float32)
-    total = max(1, sum(len(b.text) for b in page))
-    before = 0
-    for k, b in enumerate(page):
+def vectors(page: list[Block], first: int = 0, end: int | None = None, total: int | None = None, before: int = 0) -> np.ndarray:
+    """A row for each block from ``first`` to ``end``; ``total`` characters of the page, ``before`` of them before ``first``."""
+    part = page[first:end]
+    out = np.zeros((len(part), SIZE), np.float32)
+    total = max(1, sum(len(b.text) for b in page)) if total is None else total
+    for k, b in enumerate(part):
         row, text = out[k], b.text
-        row[:PATH_SIZE] = _path_vector(b.path)
+        row[:PATH_SIZE] = b.path.as_vector()
         words = WORD.findall(text.lower())
         if words:
             counts = np.bincount([_bucket(w, WORD_SIZE) for w in words], minlength=WORD_SIZE)
@@ -173,7 +291,7 @@ def vectors(page: list[Block]) -> np.ndarray:
             text[-1] in ".!?:\"'",
             n / total,
             before / total,
-            k / len(page),
+            (first + k) / len(page),
             text[0] in "©&" or "©" in text,
         )
         before += n
@@ -193,10 +311,10 @@ class Labeller:
         bias[hidden : 2 * hidden] = 1  # remember at first
         self.p = {"wf": make(size, 4 * hidden), "uf": make(hidden, 4 * hidden), "bf": bias.copy(), "wb": make(size, 4 * hidden), "ub": make(hidden, 4 * hidden), "bb": bias.copy(), "wo": make(2 * hidden, 1)[:, 0], "bo": np.zeros(1, np.float32)}
 
-    def _direction(self, x, mask, w, u, b, keep):
-        """x: steps x pages x size. Hidden states of each step, and what the way back needs if ``keep``."""
+    def _direction(self, x, mask, w, u, b, keep, state=None):
+        """x: steps x pages x size. Hidden states of each step, and what the way back needs if ``keep``; else the last state."""
         steps, pages, _ = x.shape
-        h, c = np.zeros((pages, self.hidden), np.float32), np.zeros((pages, self.hidden), np.float32)
+        h, c = state or (np.zeros((pages, self.hidden), np.float32), np.zeros((pages, self.hidden), np.float32))
         states, store = np.zeros((steps, pages, self.hidden), np.float32), []
         driven = x @ w + b
         n = self.hidden
@@ -213,7 +331,7 @@ class Labeller:
             c = np.where(m, new, c)
             h = np.where(m, o * tc, h)
             states[t] = h
-        return states, store
+        return states, store if keep else (h, c)
 
     def forward(self, x, mask, keep=False):
         p = self.p
@@ -270,30 +388,32 @@ class Labeller:
                     self.p[k] = (self.p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         return loss
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page whether each block is main text."""
         out: list = [np.zeros(0, bool)] * len(pages)
-        parts = []
-        for k, x in enumerate(pages):
-            if len(x) <= STRETCH:
-                parts.append((k, 0, x, 0, len(x)))
-            else:
-                out[k] = np.zeros(len(x), bool)
-                for a in range(0, len(x), STRETCH - 2 * OVERLAP):
-                    b = max(0, a - OVERLAP)
-                    parts.append((k, a, x[b : b + STRETCH], a - b, min(len(x) - a, STRETCH - 2 * OVERLAP)))
-        parts = [p for p in parts if len(p[2])]
-        for x, mask, _, which in _padded([(p[2], np.zeros(len(p[2]), np.float32)) for p in parts], 64, None):
+        short = [k for k, p in enumerate(pages) if 0 < len(p) <= STRETCH]
+        for x, mask, _, which in _padded([(vectors(pages[k]), np.zeros(len(pages[k]), np.float32)) for k in short], 64, None):
             logits = self.forward(x, mask)[0] > 0
             for column, w in enumerate(which):
-                k, a, _, skip, n = parts[w]
-                found = logits[skip : skip + n, column]
-                if len(pages[k]) <= STRETCH:
-                    out[k] = found
-                else:
-                    out[k][a : a + n] = found
+                out[short[w]] = logits[: len(pages[short[w]]), column]
+        for k, p in enumerate(pages):
+            if len(p) > STRETCH:
+                out[k] = self.label_long(p)
         return out
 
+    def label_long(self, page: list[Block], stretch: int = STRETCH) -> np.ndarray:
+        """As a page read whole, in memory for one stretch: each direction hands its state on from stretch to stretch."""
+        sizes = np.cumsum([0, *(len(b.text) for b in page)])
+        logits = np.full(len(page), self.p["bo"][0], np.float32)
+        parts = [(i, min(i + stretch, len(page))) for i in range(0, len(page), stretch)]
+        for parts, way, names, weights in ((parts, 1, ("wf", "uf", "bf"), self.p["wo"][: self.hidden]), (parts[::-1], -1, ("wb", "ub", "bb"), self.p["wo"][self.hidden :])):
+            state = None
+            for i, j in parts:
+                x = vectors(page, i, j, max(1, int(sizes[-1])), int(sizes[i]))[::way, None]
+                states, state = self._direction(x, np.ones((j - i, 1), bool), *(self.p[n] for n in names), False, state)
+                logits[i:j] += (states[:, 0] @ weights)[::way]
+        return logits > 0
+
 
 def _padded(pages, size, rng):
     """Batches of pages of like length: steps x pages x size, mask, labels, page numbers."""
@@ -345,9 +465,10 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
     def body_text():
         kind = rng.random()
         if junk < 0.08:
-            return " ".join(w + rng.choice(["%%%", "###", "&amp;&amp;", "$$$"]) for w in _words(rng, rng.randrange(3, 40), vocabulary).split())
+            marks = [entities.escape(rng.choice(string.punctuation) * rng.randrange(1, 5)) for _ in range(4)]
+            return " ".join(w + rng.choice(marks) for w in _words(rng, rng.randrange(3, 40), vocabulary).split())
         if junk < 0.16:
-            return " | ".join(_words(rng, rng.randrange(3, 30), vocabulary).split())
+            return f" {entities.escape(rng.choice(string.punctuation))} ".join(_words(rng, rng.randrange(3, 30), vocabulary).split())
         if junk < 0.16 + 0.08 * (rng.random() < 0.8):
             return (rng.choice(vocabulary) + " ") * rng.randrange(3, 60)
         if kind < 0.12:
@@ -400,7 +521,7 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
         out = []
 
         def add(markup, text, end=True):
-            main.append(" ".join(re.sub("<[^>]*>", "", text).replace("&amp;", "&").split()))
+            main.append(" ".join(entities.unescape(re.sub("<[^>]*>", "", text)).split()))
             out.append(f"<{markup}>{text}" + (f"</{markup.split()[0]}>" if end else ""))
 
         if rng.random() < 0.85:
@@ -442,10 +563,10 @@ def sample_page(rng: random.Random) -> tuple[str, list[str]]:
 @lru_cache(1)
 def trained() -> Labeller:
     rng = random.Random(SEED)
-    pages = []
+    pages, root = [], Node()
     for _ in range(PAGES):
         page, main = sample_page(rng)
-        found = blocks(page)
+        found = blocks(page, root)
         wanted = list(main)
         labels = np.zeros(len(found), np.float32)
         for k, b in enumerate(found):  # the main blocks in order
@@ -460,16 +581,17 @@ def trained() -> Labeller:
 
 
 def extract(pages: list[str | None], model: Labeller) -> list[str]:
-    found = [blocks(p) if p else [] for p in pages]
-    labels = model.label([vectors(b) for b in found])
+    root = Node()
+    found = [blocks(p, root) if p else [] for p in pages]
+    labels = model.label(found)
     return [" ".join([b.text for b, main in zip(own, label.tolist()) if main]) for own, label in zip(found, labels)]
 
 
 def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", rows: int = 256) -> DataFrame:
     """The columns ``keep`` of each row with ``text`` and ``n_chars``; one pass without a shuffle."""
-    kept = pages.select(*keep)
     weights = trained().p
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    (source,) = fresh(keep, "html_")
+    answered = [*keep, *fresh(keep, "text", "n_chars")]
 
     def run(batches):
         model = Labeller()
@@ -479,9 +601,10 @@ def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html
             texts = []
             for i in range(0, len(column), rows):
                 texts += extract(column.slice(i, rows).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], answered)
 
-    return pages.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(run, f"{ddl}, text string, n_chars long")
+    kept = [F.col(quoted(k)) for k in keep]
+    return pages.select(*kept, F.col(quoted(html)).cast("string").alias(source)).mapInArrow(run, ddl(pages.select(*kept), f"{answered[-2]} string, {answered[-1]} long"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
