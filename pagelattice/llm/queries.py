@@ -12,6 +12,7 @@ from pagelattice.llm.html_text import op4_html_text
 from pagelattice.llm.jaccard_join import op7_jaccard
 from pagelattice.llm.language_id import op2_language
 from pagelattice.llm.nearest import op8_nearest
+from pagelattice.llm.oracles import ORACLE
 from pagelattice.llm.quality import op10_quality
 from pagelattice.llm.secret_scan import op6_secrets
 from pagelattice.llm.substring_dedup import op1_substring_dedup
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
