@@ -1,20 +1,24 @@
 """Operator 8: approximate nearest neighbours along shifted space-filling curves.
 
 Method: every curve turns the vectors by a random rotation, keeps the first ``PROJECTED``
-coordinates, shifts them and orders the rows by their Hilbert key. The order is
-range-partitioned into blocks of neighbouring keys; a query is laid beside its own block
-and the two next to it, the windows of all curves are merged, and the candidates are ranked
-by their exact distance.
-
-The ranges are fitted on the ``SAMPLE`` vectors with the smallest hashes (a fixed bound);
-every row is indexed. Vectors that are equal in all components are one entry that carries
-its smallest ids, as many as an answer can hold, so thousands of copies of one vector
-neither fill a block nor lose an answer: those are exactly the ids that ties prefer.
-
-The number of curves and the share of a block set the recall: vectors spread evenly over 64
-dimensions have no order that keeps all neighbours near, and 0.9 needs about half of the
-rows as candidates (``CURVES`` windows of three in ``BLOCKS`` blocks). On data with fewer
-dimensions in effect, fewer curves do.
+coordinates, shifts them and orders the rows by their Hilbert key. Spark partitions the rows
+of all curves by ranges of (curve, block), a block being a stretch of neighbouring keys; a
+query is laid beside its own block and the two next to it. In each window the nearest rows
+are found on 16-bit copies of the vectors, with a bound of what rounding can hide; the
+windows of all curves are merged, and the few candidates left are ranked by their exact
+distance on the original vectors. So a row travels once for each curve with its id and two
+bytes for each dimension, and in full only as a candidate.
+
+The bounds of the blocks are fitted on the ``SAMPLE`` vectors with the smallest hashes (a
+fixed bound); every row is indexed. Vectors that are equal in all components are one entry
+that carries its smallest ids, as many as an answer can hold, so thousands of copies of one
+vector neither fill a block nor lose an answer: those are exactly the ids that ties prefer.
+
+A block holds ``1 / BLOCKS`` of the rows and at most about ``MOST_ROWS``. The number of curves
+and the share of a block set the recall: vectors spread evenly over 64 dimensions have no
+order that keeps all neighbours near, and narrow windows on many curves cost fewest distances
+for 0.9 there. Beyond ``BLOCKS * MOST_ROWS`` rows the share of a block falls, and with it the
+recall on such data; on data with fewer dimensions in effect, fewer curves do.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component takes
 no part, nor one whose length is not the most frequent one (ties: the smaller length); of
@@ -29,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import U64, Written, table
+from pagelattice.llm.common import U64, Written, table, text_buffer
 
 K = 10
 EVERY = 100
-CURVES = 36
-BLOCKS = 100
-#: Rows in a block at least.
-LEAST = 64
+CURVES = 48
+BLOCKS = 240
+#: Rows in a block at least, and at most about.
+LEAST, MOST_ROWS = 64, 65_536
 PROJECTED, BITS = 12, 4
 SAMPLE = 20_000
 SEED = 17
@@ -91,7 +95,7 @@ class Curves:
             width = np.maximum(high - low, 1e-12) * 1.25
             self.low.append(low - shift[c] * width / 1.25)
             self.step.append(width / (1 << bits))
-        count = max(1, min(blocks, rows // LEAST))
+        count = max(1, min(max(blocks, rows // MOST_ROWS), rows // LEAST))
         spread = np.arange(len(sample), dtype=U64)
         for c in range(curves):
             keys = np.sort(self.keys(c, sample, spread))
@@ -111,7 +115,15 @@ class Curves:
         return len(self.bounds[c])
 
 
-LAID = "curve int, block int, query long, ids array<long>, v binary"
+LAID = "curve int, block int, asks boolean, id long, scale double, v binary"
+NAMES = ["curve", "block", "asks", "id", "scale", "v"]
+STEPS = 32767
+
+
+def rounded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, 16-bit components) of each vector: component = scale * integer, up to half the scale."""
+    scale = np.maximum(np.abs(vectors).max(1), 1e-300) / STEPS
+    return scale, np.rint(vectors / scale[:, None]).astype(np.int16)
 
 
 def entries(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -127,20 +139,15 @@ def entries(vectors: DataFrame, k: int = K) -> DataFrame:
     return few.groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _matrix(column) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array([np.frombuffer(x, np.float64) for x in rows]) if rows else np.zeros((0, 0))
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, curves: int = CURVES, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``queries`` among all rows but its own.
 
-    Both have vec_id and embedding. Each entry is sent once for each curve; a query once for each curve and block
-    it is laid beside. A block's task holds its queries and streams its entries.
+    Both have vec_id and embedding. An entry goes by the smallest of its ids. A block's task holds its entries, a
+    bounded number, and streams its queries.
     """
-    all_rows = Written(entries(vectors, k)).df
+    all_rows = Written(entries(vectors, k).withColumn("id", F.col("ids")[0])).df
     total = all_rows.count()
-    asked = entries_of_queries(queries)
+    asked = Written(entries_of_queries(queries)).df
     sample = all_rows.select("e", F.xxhash64("e").alias("h")).orderBy("h", "e").limit(SAMPLE).toPandas()
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -151,30 +158,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, curves: int = CUR
     def lay(batches):
         own = sent.value
         for batch in batches:
-            ids = batch.column(1).to_pylist()
+            asks, id_ = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).to_numpy()
             e = batch.column(2)
             vectors = np.array(e.values.to_numpy(zero_copy_only=False)[e.offsets[0].as_py() : e.offsets[-1].as_py()], float).reshape(-1, size)
-            query = batch.column(0).to_pylist()
-            raw = [x.tobytes() for x in vectors]
-            spread = np.array([(q if q is not None else i[0]) & 0x7FFFFFFFFFFFFFFF for q, i in zip(query, ids)], U64)
-            asks = np.array([q is not None for q in query])
+            scale, small = rounded(vectors)
+            spread = (id_ & 0x7FFFFFFFFFFFFFFF).astype(U64)
             for c in range(len(own.turn)):
                 block = own.blocks(c, own.keys(c, vectors, spread))
-                parts = [(np.flatnonzero(~asks), block[~asks])]
-                at = np.flatnonzero(asks)
-                parts += [(at, block[at] + d) for d in (-1, 0, 1)]
-                for rows, where in parts:
-                    ok = (where >= 0) & (where <= own.last(c))
-                    rows, where = rows[ok].tolist(), where[ok]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(where.astype(np.int32)), pa.array([query[r] for r in rows], pa.int64()), pa.array([ids[r] for r in rows], pa.list_(pa.int64())), pa.array([raw[r] for r in rows], pa.binary())], ["curve", "block", "query", "ids", "v"])
-
-    both = all_rows.select(F.lit(None).cast("long").alias("query"), "ids", "e").union(asked.where(F.size("e") == size).select(F.col("vec_id").alias("query"), F.array().cast("array<long>").alias("ids"), "e"))
-    laid = both.mapInArrow(lay, LAID).repartition("curve", "block").sortWithinPartitions("curve", "block", F.col("query").isNull())
-    found = laid.mapInArrow(_ranked(k), "query_id long, vec_id long, score double")
+                rows = np.concatenate([np.flatnonzero(~asks), *[np.flatnonzero(asks)] * 3])
+                where = block[rows] + np.repeat([0, -1, 0, 1], [(~asks).sum(), *[asks.sum()] * 3])
+                ok = (where >= 0) & (where <= own.last(c))
+                rows, where = rows[ok], where[ok]
+                n = len(rows)
+                if n:
+                    v = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 2 * size, 2 * size, dtype=np.int32)), pa.py_buffer(small[rows].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(where.astype(np.int32)), pa.array(asks[rows]), pa.array(id_[rows]), pa.array(scale[rows]), v], NAMES)
+
+    both = all_rows.select(F.lit(False).alias("asks"), "id", "e").union(asked.where(F.size("e") == size).select(F.lit(True), F.col("vec_id"), "e"))
+    laid = both.mapInArrow(lay, LAID).repartitionByRange("curve", "block").sortWithinPartitions("curve", "block", "asks")
+    found = laid.mapInArrow(_near(k, size), "query_id long, id long, least double, most double")
+    # k + 1 entries hold k ids besides the query's own; what may be nearer than the last of them stays
+    one = found.groupBy("query_id", "id").agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    place = Window.partitionBy("query_id").orderBy("most", "id")
+    edge = F.max(F.when(F.col("place") <= k + 1, F.col("most"))).over(Window.partitionBy("query_id"))
+    close = one.withColumn("place", F.row_number().over(place)).withColumn("edge", edge).where("least <= edge").select("query_id", "id")
+    exact = close.join(all_rows.select("id", "ids", "e").hint("merge"), "id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")).hint("merge"), "query_id")
+    gap = F.zip_with("e", "q", lambda a, b: (a - b) * (a - b))
+    scored = exact.withColumn("score", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))).select("query_id", F.explode("ids").alias("vec_id"), "score")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = scored.where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def entries_of_queries(queries: DataFrame) -> DataFrame:
@@ -184,47 +197,47 @@ def entries_of_queries(queries: DataFrame) -> DataFrame:
     return own.join(rows.select("e"), "e", "left_semi")
 
 
-def _ranked(k: int):
-    """Of laid rows ordered by curve, block, queries first: for each query the k best of each stretch of entries."""
+def _near(k: int, size: int):
+    """Of laid rows ordered by curve, block, entries first: for each query the entries of each block that may be among
+    the k + 1 nearest there, with the bounds of their distances."""
 
-    def best(asked, q, ids, v):
-        """asked: query ids; q: their vectors; ids, v: entries."""
-        near = (q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T
+    def unpacked(part):
+        scale = part.column(4).to_numpy()
+        raw = text_buffer(part.column(5))[0].view(np.int16).reshape(len(scale), size)
+        return part.column(3).to_numpy(), raw * scale[:, None], scale * (0.5 * np.sqrt(size))
+
+    def best(held, asked):
+        """Both: (ids, vectors, how far rounding may have moved each)."""
+        (ids, v, off), (names, q, own) = held, asked
+        norms = (q * q).sum(1)[:, None] + (v * v).sum(1)[None]
+        square = np.maximum(norms - 2 * q @ v.T, 0)
+        moved = own[:, None] + off[None] + 1e-7 * np.sqrt(norms)  # the last for the sums' own rounding
+        far = np.sqrt(square)
         take = min(len(v), k + 1)
-        edge = np.partition(near, take - 1, axis=1)[:, take - 1]
-        rows, places = np.nonzero(near <= edge[:, None] + 1e-9 * (1 + np.abs(edge))[:, None])
-        exact = np.sqrt(((q[rows] - v[places]) ** 2).sum(1))
-        out = []
-        for r in range(len(asked)):
-            mine = rows == r
-            found = sorted((s, i) for s, p in zip(exact[mine].tolist(), places[mine].tolist()) for i in ids[p] if i != asked[r])[:k]
-            out += [(asked[r], i, s) for s, i in found]
-        return out
+        edge = np.partition(far + moved, take - 1, axis=1)[:, take - 1]
+        rows, places = np.nonzero(far - moved <= edge[:, None])
+        far, moved = far[rows, places], moved[rows, places]
+        return pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(ids[places]), pa.array(far - moved), pa.array(far + moved)], ["query_id", "id", "least", "most"])
 
     def run(batches):
-        name, asked, vectors, matrix = None, [], [], None
+        name, parts, held = None, [], None
         for batch in batches:
-            curve, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], (curve[1:] != curve[:-1]) | (block[1:] != block[:-1])]))
-            out = []
+            curve, block, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            new = np.ones(len(curve), bool)
+            new[1:] = (curve[1:] != curve[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])
+            edge = np.flatnonzero(new)
             for b, e in zip(edge.tolist(), np.append(edge[1:], len(curve)).tolist()):
                 if (curve[b], block[b]) != name:
-                    name, asked, vectors, matrix = (curve[b], block[b]), [], [], None
-                part = batch.slice(b, e - b)
-                query = part.column(2)
-                n = len(query) - query.null_count  # queries come first
-                if n:
-                    asked += query.slice(0, n).to_pylist()
-                    vectors.append(_matrix(part.column(4).slice(0, n)))
-                    matrix = None
-                if n < len(query) and asked:
-                    if matrix is None:
-                        matrix = np.concatenate(vectors)
-                    ids, v = part.column(3).slice(n).to_pylist(), _matrix(part.column(4).slice(n))
-                    for i in range(0, len(asked), 256):
-                        out += best(asked[i : i + 256], matrix[i : i + 256], ids, v)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+                    name, parts, held = (curve[b], block[b]), [], None
+                part = unpacked(batch.slice(b, e - b))
+                if not asks[b]:
+                    parts.append(part)
+                elif parts:
+                    if held is None:
+                        held = tuple(np.concatenate(x) for x in zip(*parts))
+                    step = max(1, (1 << 21) // len(held[0]))
+                    for i in range(0, e - b, step):
+                        yield best(held, tuple(x[i : i + step] for x in part))
 
     return run
 

@@ -233,3 +233,31 @@ def test_hilbert_neighbours_are_adjacent_cells():
         assert sorted(keys.tolist()) == list(range(len(cells)))
         steps = np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1)
         assert (steps == 1).all()
+
+
+def test_nearest_recall_in_64_dimensions(spark):
+    from pagelattice.llm import nearest
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(5000, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    found = nearest.search(table, table.where("vec_id % 100 = 0")).collect()
+    exact = v.astype(float)
+    hits = 0
+    for q in range(0, 5000, 100):
+        far = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        far[q] = np.inf
+        want = set(np.lexsort((np.arange(5000), far))[:10].tolist())
+        mine = [r for r in found if r.query_id == q]
+        assert sorted(r["rank"] for r in mine) == list(range(1, 11)) and all(abs(r.score - far[r.vec_id]) < 1e-12 for r in mine)
+        hits += len(want & {r.vec_id for r in mine})
+    assert hits >= 0.9 * 500, hits
+
+
+def test_rounded_vectors_stay_within_half_a_step():
+    from pagelattice.llm import nearest
+
+    v = np.concatenate([np.random.default_rng(1).normal(size=(50, 8)) * 10.0 ** np.arange(-25, 25)[:, None], [[1e-310] * 8]])
+    scale, small = nearest.rounded(v)
+    assert (np.abs(small * scale[:, None] - v) <= scale[:, None] * 0.5000001).all()
