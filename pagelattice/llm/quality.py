@@ -477,7 +477,9 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order
     if model is None:
         has = F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) > 0
         return docs.withColumns({n: F.length("text").cast("long"), **{x: none for x in (*figure, limit)}, keep: has}), names
-    limits = Written(language_limits(scored(good, model).where(F.col(FIGURES[1]).isNotNull()), quantile)).df
+    judged_by = Written(scored(good, model).select("lang", *FIGURES[1:]).where(F.col(FIGURES[1]).isNotNull()))
+    limits = Written(language_limits(judged_by.df, quantile)).df
+    judged_by.drop()
     overall = limits.where("lang is null").first()
     own = fresh([*docs.columns, *names], "own_lang", *(f"{x}_limit" for x in FIGURES[1:]))
     of_lang = limits.where("lang is not null").select("lang", *FIGURES[1:]).toDF(*own)
