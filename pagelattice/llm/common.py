@@ -187,11 +187,11 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word: its length, then eight bytes after another, each mixed in by a bijection."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 2) -> tuple[np.ndarray, ...]:
+    """Independent 64-bit hashes of each word: its length, then eight bytes after another, each mixed in by a bijection."""
     size = ends - starts
     eights = loads(data)
-    seeds = [mix(size.astype(U64) * a + b) for a, b in _LANES]
+    seeds = [mix(size.astype(U64) * a + b) for a, b in _LANES[:lanes]]
     long = np.flatnonzero(size > LONG_WORD)
     live = np.arange(len(size)) if not len(long) else np.flatnonzero(size <= LONG_WORD)
     done = 0
@@ -206,7 +206,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         made = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
         for h, v in zip(seeds, np.frombuffer(made, U64)):
             h[k] = v
-    return seeds[0], seeds[1]
+    return tuple(seeds)
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

@@ -56,7 +56,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     """(hashes of the shingles of texts, first shingle of each text and the end); a short text is one shingle."""
     data = UPPER[data]
     starts, ends, first = word_spans(data, offsets)
-    prefix = WORDS_3.prefix(word_hashes(data, starts, ends)[0])
+    prefix = WORDS_3.prefix(word_hashes(data, starts, ends, 1)[0])
     count = np.diff(first)
     made = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     at = np.concatenate([[0], np.cumsum(made)])
@@ -140,8 +140,9 @@ DOC, POSTING, LONG = 0, 1, 2
 def identity(own: np.ndarray) -> tuple[int, int]:
     """96 bits that tell sets apart, from two sums over their elements, each mixed another way."""
     n = np.array([len(own)], U64)
-    one = mix(own).sum(dtype=U64) ^ mix(n)[0]
-    two = mix(mix(own ^ U64(0xA5A5A5A55A5A5A5A)) + U64(0x632BE59BD9B4E019)).sum(dtype=U64)
+    mixed = mix(own)
+    one = mixed.sum(dtype=U64) ^ mix(n)[0]
+    two = (mixed * (own ^ (mixed >> U64(29)))).sum(dtype=U64)
     return int(one.view(np.int64)), int((mix(two + n) >> U64(32)).astype(np.uint32).view(np.int32)[0])
 
 
