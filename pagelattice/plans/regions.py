@@ -254,10 +254,19 @@ def srt1(spark, d):
     return _edges(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("img").orderBy("w", "a", "b")).cast("long"))
 
 
-@query("joi3", "color", _HIST + ", t AS (SELECT * FROM h WHERE place <= 60) SELECT a.img, a.key AS a, b.key AS b, (a.key // 144 - b.key // 144) * (a.key // 144 - b.key // 144) + (a.key // 12 % 12 - b.key // 12 % 12) * (a.key // 12 % 12 - b.key // 12 % 12) + (a.key % 12 - b.key % 12) * (a.key % 12 - b.key % 12) AS d2 FROM t a JOIN t b ON a.img = b.img AND a.key < b.key")
+_KEPT_COLORS = _HIST + _KEPT + ", t AS (SELECT h.img, h.key, h.cnt, k.kept FROM h JOIN kept k ON h.img = k.img AND h.place <= k.kept)"
+
+
+def _kept_colors(spark, d):
+    """(img, key, cnt, kept): the colours that stay after quantising, as many as ``kept``, 256 at most."""
+    h = R.histogram(V.color(spark, d))
+    return h.join(R.kept_colors(h), "img").where("place <= kept").select("img", "key", "cnt", "kept")
+
+
+@query("joi3", "color", _KEPT_COLORS + " SELECT a.img, a.key AS a, b.key AS b, (a.key // 144 - b.key // 144) * (a.key // 144 - b.key // 144) + (a.key // 12 % 12 - b.key // 12 % 12) * (a.key // 12 % 12 - b.key // 12 % 12) + (a.key % 12 - b.key % 12) * (a.key % 12 - b.key % 12) AS d2 FROM t a JOIN t b ON a.img = b.img AND a.key < b.key")
 def joi3(spark, d):
-    """Distances between the sixty most frequent colours of an image."""
-    t = R.histogram(V.color(spark, d)).where("place <= 60")
+    """Distances between the colours that stay after quantising an image."""
+    t = _kept_colors(spark, d)
     pairs = t.select("img", c("key").alias("a")).join(t.select("img", c("key").alias("b")), "img").where("a < b")
     part = lambda p: [F.expr(f"{p} div 144"), F.expr(f"{p} div 12 % 12"), F.expr(f"{p} % 12")]
     return pairs.withColumn("d2", sum(((x - y) * (x - y) for x, y in zip(part("a"), part("b"))), F.lit(0)).cast("long"))
@@ -279,15 +288,15 @@ def joi4(spark, d):
     return k.join(ra, ["img", "la"]).join(rb, ["img", "lb"]).groupBy("img", c("la").alias("label")).agg(r6(F.sum(each) / 100).alias("contrast"))
 
 
-@query("joi6", "color", _HIST + ", t AS (SELECT * FROM h WHERE place <= 60), p AS (SELECT a.img, a.key AS a, b.key AS b, b.cnt, row_number() OVER (PARTITION BY a.img, a.key ORDER BY (a.key // 144 - b.key // 144) * (a.key // 144 - b.key // 144) + (a.key // 12 % 12 - b.key // 12 % 12) * (a.key // 12 % 12 - b.key // 12 % 12) + (a.key % 12 - b.key % 12) * (a.key % 12 - b.key % 12), b.key) AS place FROM t a JOIN t b ON a.img = b.img) SELECT img, a AS key, CAST(sum(cnt) AS BIGINT) AS near FROM p WHERE place <= 6 GROUP BY img, a")
+@query("joi6", "color", _KEPT_COLORS + ", p AS (SELECT a.img, a.key AS a, b.key AS b, b.cnt, a.kept, row_number() OVER (PARTITION BY a.img, a.key ORDER BY (a.key // 144 - b.key // 144) * (a.key // 144 - b.key // 144) + (a.key // 12 % 12 - b.key // 12 % 12) * (a.key // 12 % 12 - b.key // 12 % 12) + (a.key % 12 - b.key % 12) * (a.key % 12 - b.key % 12), b.key) AS place FROM t a JOIN t b ON a.img = b.img) SELECT img, a AS key, CAST(sum(cnt) AS BIGINT) AS near FROM p WHERE place <= greatest((kept + 5) // 10, 2) GROUP BY img, a")
 def joi6(spark, d):
-    """Pixels of the six colours nearest to each of the sixty most frequent ones."""
-    t = R.histogram(V.color(spark, d)).where("place <= 60")
+    """Pixels of the nearest colours of each that stays after quantising: a tenth of them, rounded, two at least."""
+    t = _kept_colors(spark, d)
     part = lambda p: [F.expr(f"{p} div 144"), F.expr(f"{p} div 12 % 12"), F.expr(f"{p} % 12")]
-    p = t.select("img", c("key").alias("a")).join(t.select("img", c("key").alias("b"), "cnt"), "img")
+    p = t.select("img", c("key").alias("a")).join(t.select("img", c("key").alias("b"), "cnt", "kept"), "img")
     p = p.withColumn("d", sum(((x - y) * (x - y) for x, y in zip(part("a"), part("b"))), F.lit(0)))
     w = Window.partitionBy("img", "a").orderBy("d", "b")
-    return p.withColumn("place", F.row_number().over(w)).where("place <= 6").groupBy("img", c("a").alias("key")).agg(F.sum("cnt").alias("near"))
+    return p.withColumn("place", F.row_number().over(w)).where("place <= greatest((kept + 5) div 10, 2)").groupBy("img", c("a").alias("key")).agg(F.sum("cnt").alias("near"))
 
 
 _LINE = "lines_ AS (SELECT a.img, a.id AS i, b.id AS j, a.x AS ax, a.y AS ay, a.h AS ah, b.x AS bx, b.y AS by_ FROM rects a JOIN rects b ON a.img = b.img AND a.id < b.id AND abs(a.y - b.y) < 60 AND abs(a.x - b.x) < 120 AND abs(a.y - b.y) * 10 < 7 * abs(a.x - b.x))"
