@@ -79,11 +79,12 @@ def order_corners(points) -> np.ndarray | None:
 
 
 def corner_angles(c: np.ndarray) -> list[float]:
-    out = []
+    out, points = [], c.tolist()
     for k in range(4):
-        a, b = c[k - 1] - c[k], c[(k + 1) % 4] - c[k]
-        n = np.linalg.norm(a) * np.linalg.norm(b)
-        out.append(math.acos(max(-1.0, min(1.0, float(a @ b) / n))) if n else 0.0)
+        (x, y), (x1, y1), (x2, y2) = points[k], points[k - 1], points[(k + 1) % 4]
+        ax, ay, bx, by = x1 - x, y1 - y, x2 - x, y2 - y
+        n = math.hypot(ax, ay) * math.hypot(bx, by)
+        out.append(math.acos(max(-1.0, min(1.0, (ax * bx + ay * by) / n))) if n else 0.0)
     return out
 
 
@@ -113,6 +114,10 @@ def coverage(c: np.ndarray, mask: np.ndarray) -> tuple[float, float]:
     return both / max(1, inside.sum()), both / mask.sum()
 
 
+#: Fixed value: lines that are paired at most.
+MOST_LINES = 1000
+
+
 def quadrangles(gray: np.ndarray, threshold: float, most_pairs: int = 100, keep: int = 20) -> list[tuple[float, np.ndarray]]:
     """(score, corners) of the best page-like quadrangles of one phase, at the given image's size."""
     h, w = gray.shape
@@ -120,8 +125,8 @@ def quadrangles(gray: np.ndarray, threshold: float, most_pairs: int = 100, keep:
     size = np.minimum(np.abs(gx) + np.abs(gy), 510)
     edges = size > threshold
     thin = edges & (size >= K.blur(size, 1.0, 2))
-    segments = hough_segments(thin, 2, 2, max(30, min(h, w) // 6), max(30, min(h, w) // 6), 20, 60)
-    lines = distinct_lines([tuple(s) for s in segments.tolist()], edges)[:40]
+    segments = hough_segments(thin, 2, 2, max(30, min(h, w) // 6), max(30, min(h, w) // 6), 20)
+    lines = distinct_lines([tuple(s) for s in segments.tolist()], edges)[:MOST_LINES]
     level, upright = [], []
     for a, b in itertools.combinations(lines, 2):
         d = abs(a[2] - b[2])
@@ -135,7 +140,7 @@ def quadrangles(gray: np.ndarray, threshold: float, most_pairs: int = 100, keep:
             level.append((a, b))
         elif min(tilt) >= math.sqrt(0.5) - 1e-9:
             upright.append((a, b))
-    found = []
+    found, known = [], {}
     for (a, b), (c, d) in itertools.product(level[:most_pairs], upright[:most_pairs]):
         points = [meet(p[3], q[3]) for p in (a, b) for q in (c, d)]
         if any(p is None or not (-10 <= p[0] <= w + 10 and -10 <= p[1] <= h + 10) for p in points):
@@ -146,8 +151,13 @@ def quadrangles(gray: np.ndarray, threshold: float, most_pairs: int = 100, keep:
         sides = [tuple(np.rint([*corners[k], *corners[(k + 1) % 4]]).astype(int).tolist()) for k in range(4)]
         if sum(math.hypot(s[2] - s[0], s[3] - s[1]) for s in sides) <= (h + w) / 2:
             continue
-        scores = [line_score(edges, s) for s in sides]
-        if any(s is None for s in scores) or doubtful(corners):
+        if doubtful(corners):
+            continue
+        for s in sides:  # many outlines share a side
+            if s not in known:
+                known[s] = line_score(edges, s)
+        scores = [known[s] for s in sides]
+        if any(s is None for s in scores):
             continue
         found.append((float(sum(scores)), corners))
     found.sort(key=lambda f: -f[0])

@@ -87,28 +87,34 @@ def remove_garbage(gray: np.ndarray) -> np.ndarray:
 
 def hough_votes(mask: np.ndarray, theta_step: float = 1.0, rho_step: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(votes by theta and rho, thetas in degrees, smallest rho)."""
-    y, x = np.nonzero(mask)
     theta = np.arange(0, 180, theta_step)
-    t = np.deg2rad(theta)
     far = math.hypot(*mask.shape)
-    bins = int(2 * far / rho_step) + 2
+    return _votes(*np.nonzero(mask), theta, rho_step, far), theta, -far
+
+
+def _votes(y: np.ndarray, x: np.ndarray, theta: np.ndarray, rho_step: float, far: float) -> np.ndarray:
+    t, bins = np.deg2rad(theta), int(2 * far / rho_step) + 2
     votes = np.zeros((len(theta), bins), np.int64)
     for k in range(len(theta)):
         rho = ((x * math.cos(t[k]) + y * math.sin(t[k]) + far) / rho_step + 0.5).astype(int)
         votes[k] = np.bincount(rho, minlength=bins)
-    return votes, theta, -far
+    return votes
 
 
-def hough_segments(mask: np.ndarray, rho_step: float = 1, theta_step: float = 1, votes: int = 100, least: int = 70, gap: int = 20, most: int = 200) -> np.ndarray:
-    """Segments (x1, y1, x2, y2) on the strongest lines, without chance: each line takes its pixels away from the later ones."""
+def hough_segments(mask: np.ndarray, rho_step: float = 1, theta_step: float = 1, votes: int = 100, least: int = 70, gap: int = 20, most: int = 5000) -> np.ndarray:
+    """Segments (x1, y1, x2, y2) on the strongest lines, without chance: each line takes its pixels, and their votes, away
+    from the later ones."""
     left = mask.astype(bool).copy()
     table, theta, low = hough_votes(left, theta_step, rho_step)
     out = []
-    for flat in np.argsort(-table, axis=None, kind="stable")[: most * 5]:
+    y, x = np.nonzero(left)
+    strong = np.flatnonzero(table >= votes)
+    for flat in strong[np.argsort(-table.reshape(-1)[strong], kind="stable")]:
         k, r = divmod(int(flat), table.shape[1])
-        if table[k, r] < votes or len(out) >= most:
+        if len(out) >= most:
             break
-        y, x = np.nonzero(left)
+        if table[k, r] < votes:
+            continue
         t = math.radians(theta[k])
         near = np.abs(x * math.cos(t) + y * math.sin(t) - (low + r * rho_step)) <= max(1.0, rho_step / 2 + 0.5)
         if near.sum() < least:
@@ -122,6 +128,8 @@ def hough_segments(mask: np.ndarray, rho_step: float = 1, theta_step: float = 1,
             if math.hypot(px[b] - px[a], py[b] - py[a]) >= least:
                 out.append((px[a], py[a], px[b], py[b]))
                 left[py[part], px[part]] = False
+                table -= _votes(py[part], px[part], theta, rho_step, -low)
+        y, x = np.nonzero(left) if not left[py, px].all() else (y, x)
     return np.array(out, int).reshape(-1, 4)
 
 
