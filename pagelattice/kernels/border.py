@@ -165,6 +165,31 @@ def quadrangles(gray: np.ndarray, threshold: float, most_pairs: int = 100, keep:
     return [f for k, f in enumerate(found) if k < keep or f[0] > top / 3][:30]
 
 
+def tilt(c: np.ndarray) -> float:
+    """How far the sides of a quadrangle lean, in radians: nothing for a pair within five degrees of its axis."""
+    x, y = np.abs(np.roll(c, -1, 0) - c).T
+    level, upright = np.arctan2(y, x)[[0, 2]], np.arctan2(x, y)[[1, 3]]
+    straight = math.pi / 36
+    if (level < straight).all():
+        return 0.0 if (upright < straight).all() else float(abs(upright[0] - upright[1]))
+    apart = float(abs(level[0] - level[1]))
+    return apart if (upright < straight).all() else float(abs(upright[0] - upright[1])) + apart + float(level[0])
+
+
+def page_choice(found: list[tuple[float, np.ndarray]], most: int = 30) -> np.ndarray | None:
+    """Of the ``most`` outlines with the best supported lines the one of the least place by length times one more than its lean.
+
+    Lengths and leans count in whole pixels and radians; equals keep the order of their lines' support.
+    """
+    top = sorted(found, key=lambda f: -f[0])[:most]
+    if not top:
+        return None
+    length = [int(np.linalg.norm(np.roll(c, -1, 0) - c, axis=1).sum()) for _, c in top]
+    place = np.empty(len(top), int)
+    place[np.argsort([-n for n in length], kind="stable")] = np.arange(len(top))
+    return top[int(np.argmin([p * (1 + int(tilt(c))) for p, (_, c) in zip(place.tolist(), top)]))][1]
+
+
 def page_border(image: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray | None:
     """Corners of the page at full size: from a salient mask if it gives some, else from the photo over three thresholds."""
     small, k = K.shrink_to(image.astype(float), 500)
@@ -175,8 +200,8 @@ def page_border(image: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray
         if found:
             return max(found, key=lambda f: f[0])[1] / k
     gray = K.to_gray(np.clip(small, 0, 255).astype(np.uint8))
-    found = [f for t in PHASES for f in quadrangles(gray, t)]
-    return max(found, key=lambda f: f[0])[1] / k if found else None
+    chosen = page_choice([f for t in PHASES for f in quadrangles(gray, t)])
+    return None if chosen is None else chosen / k
 
 
 def flatten(image: np.ndarray, corners: np.ndarray) -> np.ndarray:

@@ -102,7 +102,14 @@ def grf2(spark, d):
 @query("grf9")
 def grf9(spark, d):
     """Share of an image that its centre reaches over bright pixels."""
-    return S.number_of(S.gray_images(spark, d), lambda a: round(float(regions.flood_from(a > 96, [(a.shape[0] // 2, a.shape[1] // 2)]).mean()), 6), "share")
+    return S.number_of(S.gray_images(spark, d), lambda a: regions.flood_from(a > 96, [(a.shape[0] // 2, a.shape[1] // 2)]).mean(), "share")
+
+
+ORACLE["grf9"] = V.with_views("gray").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + (
+    ", bright AS MATERIALIZED (SELECT img, y, x FROM gray WHERE g > 96), ends AS MATERIALIZED (SELECT img, max(y) + 1 AS h FROM gray GROUP BY img), steps(dy, dx) AS (SELECT a, b FROM range(-1, 2) s(a), range(-1, 2) t(b)), "
+    "reach AS (SELECT b.img, b.y, b.x FROM bright b JOIN ends USING (img) WHERE b.y = h * 3 // 2 // 3 AND b.x = 32 UNION SELECT b.img, b.y, b.x FROM reach r, steps o, bright b WHERE b.img = r.img AND b.y = r.y + o.dy AND b.x = r.x + o.dx) "
+    "SELECT e.img AS image_id, CAST(count(r.y) AS DOUBLE) / (h * 64) AS share FROM ends e LEFT JOIN reach r USING (img) GROUP BY e.img, h"
+)
 
 
 @query("sta6")
@@ -123,20 +130,20 @@ def sta13_kernel(spark, d):
     return S.number_of(S.gray_images(spark, d), lambda a: round(float((pages.salt_pepper_denoise(a) == 0).mean()), 6), "ink")
 
 
-def _numbers(name, source, measure):
+def _numbers(name, source, measure, sql=None):
     def run(spark, d):
         return S.number_of(source(spark, d), measure, "v")
 
-    query(name)(run)
+    query(name, "gray" if sql else "", sql)(run)
 
 
 def _three(a):
     return a if a.ndim == 3 else np.repeat(a[..., None], 3, 2)
 
 
-def _tiny(a, side=64):
+def _tiny(a):
     """An enlarged image at the size it has in the table, pixel by pixel."""
-    return filters.resize(a, side, side).astype("uint8")
+    return a[1::3, 1::3]
 
 
 def _trimap(a):
@@ -190,11 +197,14 @@ _numbers("geo12", S.page_images, lambda a: float(text.page_kind(a)) * 10 + len(t
 _numbers("sta2", S.gray_images, lambda a: round(float(regions.gaussian_mixture(_three(_tiny(a)).reshape(-1, 3) + np.arange(3) * 0.5, 3)[0].max()), 6))
 _numbers("sta3", S.gray_images, lambda a: round(float(regions.grab_cut(_three(_tiny(a)), _trimap(_tiny(a)), 2, 5.0).mean()), 6))
 _numbers("sta4", S.gray_images, _ranked)
-_numbers("arr1", S.gray_images, lambda a: round(float((filters.convolution_matrix(np.array([[-0.5, 0, 0.5]]), *_tiny(a).shape) @ _tiny(a).astype(float).ravel()).sum()), 6))
+_numbers("arr1", S.gray_images, lambda a: round(float((filters.convolution_matrix(np.array([[-0.5, 0, 0.5]]), *_tiny(a).shape) @ _tiny(a).astype(float).ravel()).sum()), 6),
+         "SELECT img AS image_id, CAST(sum(CASE WHEN x >= 62 THEN g WHEN x <= 1 THEN -g ELSE 0 END) AS DOUBLE) / 2 AS v FROM gray GROUP BY img")
 _numbers("arr2", S.gray_images, lambda a: round(float(np.linalg.svd(_tiny(a).astype(float), compute_uv=False)[0]), 4))
-_numbers("src8", S.gray_images, lambda a: float((codecs.read_vlib(codecs.write_vlib(a)) == a).mean()))
-_numbers("snk1", S.gray_images, lambda a: float((codecs.read_png(codecs.write_png(a)) == a).mean()))
-_numbers("src2", S.gray_images, lambda a: float(filters.to_gray(_three(a)).mean().round(6)))
+#: Sums of the pixels after a round trip through a codec's bytes; the images are three times enlarged.
+_SUM = "SELECT img AS image_id, CAST(sum(g) * 9 AS DOUBLE) AS v FROM gray GROUP BY img"
+_numbers("src8", S.gray_images, lambda a: codecs.read_vlib(codecs.write_vlib(a)).sum(dtype=float), _SUM)
+_numbers("snk1", S.gray_images, lambda a: codecs.read_png(codecs.write_png(a)).sum(dtype=float), _SUM)
+_numbers("src2", S.gray_images, lambda a: filters.to_gray(_three(a)).mean(), "SELECT img AS image_id, CAST(sum(g) AS DOUBLE) / count(*) AS v FROM gray GROUP BY img")
 
 
 @query("geo14")

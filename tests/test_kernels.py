@@ -179,6 +179,20 @@ def test_text_lines_group_boxes():
 
 def test_recogniser_reads_its_font():
     assert text.recognize(text.render(["HELLO SUN", "PART 12"])) == "HELLO SUN\nPART 12"
+    lines = ["ABCDEFGHIJKLM", "NOPQRSTUVWXYZ", "0123456789"]
+    assert text.recognize(text.render(lines)) == "\n".join(lines)
+
+
+def test_page_choice_prefers_length_among_the_best_lines():
+    def quad(x, y, w, h, lean=0):
+        return np.array([[x, y], [x + w, y + lean], [x + w, y + h], [x, y + h]], float)
+
+    assert border.page_choice([]) is None
+    small, large = (90.0, quad(10, 10, 100, 100)), (80.0, quad(0, 0, 200, 150))
+    assert border.page_choice([small, large]) is large[1]
+    # beyond the best supported the length does not count
+    assert border.page_choice([small, *[(85.0, quad(0, 0, 90, 90))] * 29, large]) is small[1]
+    assert border.tilt(quad(0, 0, 200, 150)) == 0.0 and border.tilt(quad(0, 0, 100, 150, 40)) > 0.3
 
 
 def test_border_of_a_page():
