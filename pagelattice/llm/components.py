@@ -12,6 +12,8 @@ from pagelattice.llm.common import Written
 EDGES = "u long, v long"
 #: Parts that the rows of a hot key are dealt in.
 PARTS = 32
+#: Edges that one task contracts.
+TASK_EDGES = 250_000
 
 
 def hot_limit(rows: int) -> int:
@@ -67,15 +69,21 @@ def _contract(batches):
         yield out()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _sums(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (u, v) is joined with.
 
-    Each round reads a written table and makes two grouped minima; the number of rounds grows with the
-    logarithm of the longest path, since each partition's edges are contracted to stars before.
-    Only two sums come to the driver.
+    Tasks of about ``task_edges`` edges contract theirs to stars, whatever the number of shuffle partitions. Each round
+    then reads a written table and makes two grouped minima; their number grows with the logarithm of the longest path
+    between the tasks' stars. Only counts and two sums come to the driver.
     """
-    now = Written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(_contract, EDGES))
-    before, limit = None, hot_limit(2 * now.df.count())
+    rows = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v")
+    now = Written(rows.coalesce(rows.count() // task_edges + 1).mapInArrow(_contract, EDGES))
+    before = _sums(now.df)
+    limit = hot_limit(2 * before[0])
 
     def near(rows):
         """(u, m, many): the smallest neighbour of each u, and how many it has."""
@@ -95,10 +103,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = Written(small)
         now.drop()
         now = after
-        sums = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == tuple(sums):
+        sums = _sums(now.df)
+        if before == sums:
             break
-        before = tuple(sums)
+        before = sums
     else:
         raise RuntimeError("components did not settle")
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.df.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -114,8 +114,10 @@ def test_connected_components(spark):
             if a != b and label[a] != label[b]:
                 label[a] = label[b] = min(label[a], label[b])
                 changed = True
-    found = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()
-    assert {r.node: r.label for r in found} == label and len(found) == len(label)
+    table = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    for one_task in (components.TASK_EDGES, 70):  # in one task, and in seven whose stars meet
+        found = components.connected_components(table, task_edges=one_task).collect()
+        assert {r.node: r.label for r in found} == label and len(found) == len(label)
 
 
 def test_words_that_polynomials_confuse_are_not_linked(spark):
