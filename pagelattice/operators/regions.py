@@ -54,6 +54,14 @@ def region_table(regions: DataFrame) -> DataFrame:
     return regions.groupBy("img", "label").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
+def mean_in_order(points: Column, value) -> Column:
+    """The mean of ``value(point)`` over an array, added up from its first element on; null for an empty one.
+
+    A mean that is rounded at a tie depends on the last bits of its sum, thus on the order of addition; partial sums would follow the partitions.
+    """
+    return F.try_divide(F.aggregate(points, F.lit(0.0), lambda s, p: s + value(p)), F.size(points))
+
+
 def paint(pixels: DataFrame, values: DataFrame, on=("img", "label")) -> DataFrame:
     """A value of each label on its pixels."""
     return pixels.join(values, list(on))

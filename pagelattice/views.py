@@ -5,7 +5,7 @@ Both forms of a view have the same rows, so that operators over them can be comp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelattice.operators.geometry import computed, polar
@@ -18,6 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_at() -> Column:
+    """Where a row of a loaded table stands: its file and its place there."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def _level(v):
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 256 + 128))).cast("int")
 
@@ -44,8 +49,8 @@ def dark(spark: SparkSession, sf_dir: str, below: int = 96) -> DataFrame:
     return gray(spark, sf_dir).where(F.col("g") < below).select("img", "y", "x")
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, id, x1, y1, x2, y2, score): line segments, an order is an image and a line item a segment."""
+def segments(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """(img, id, x1, y1, x2, y2, score) and ``more``: line segments, an order is an image and a line item a segment."""
     return load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("long").alias("img"),
         F.col("l_linenumber").cast("long").alias("id"),
@@ -54,6 +59,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 500).cast("long").alias("x2"),
         ((F.col("l_quantity").cast("long") * 37 + F.col("l_linenumber") * 59) % 500).cast("long").alias("y2"),
         F.col("l_quantity").cast("long").alias("score"),
+        *more,
     )
 
 
