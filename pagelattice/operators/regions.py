@@ -62,6 +62,16 @@ def mean_in_order(points: Column, value) -> Column:
     return F.try_divide(F.aggregate(points, F.lit(0.0), lambda s, p: s + value(p)), F.size(points))
 
 
+def region_spread(regions: DataFrame) -> DataFrame:
+    """(img, label, n, mx, my, adx, ady): size, centre and mean distance from the centre along each axis, added up in raster order.
+
+    A task holds the pixels of one region at a time.
+    """
+    one = regions.groupBy("img", "label").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.sort_array(F.collect_list(F.struct("y", "x"))).alias("__points"))
+    far = [mean_in_order(F.col("__points"), lambda p, v=v, m=m: F.abs(p[v] - F.col(m))).alias(n) for v, m, n in (("x", "mx", "adx"), ("y", "my", "ady"))]
+    return one.select("img", "label", "n", "mx", "my", *far)
+
+
 def paint(pixels: DataFrame, values: DataFrame, on=("img", "label")) -> DataFrame:
     """A value of each label on its pixels."""
     return pixels.join(values, list(on))

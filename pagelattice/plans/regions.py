@@ -74,9 +74,8 @@ def _regions(spark, d):
 @query("agg4", "gray", _REG + f", m AS (SELECT img, label, avg(x) AS mx, avg(y) AS my FROM reg GROUP BY ALL) SELECT img, label, count(*) AS n, {_R6.format(v='avg(x) / 64')} AS cx, {_R6.format(v='avg(y) / 64')} AS cy, {_R6.format(v='avg(abs(x - mx)) / 64')} AS adx, {_R6.format(v='avg(abs(y - my)) / 64')} AS ady FROM reg JOIN m USING (img, label) GROUP BY img, label")
 def agg4(spark, d):
     """Size, centre and mean distance from the centre of every region, in shares of the side."""
-    px = _regions(spark, d)
-    m = px.groupBy("img", "label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    return px.join(m, ["img", "label"]).groupBy("img", "label").agg(F.count("*").alias("n"), r6(F.avg("x") / 64).alias("cx"), r6(F.avg("y") / 64).alias("cy"), r6(F.avg(F.abs(c("x") - c("mx"))) / 64).alias("adx"), r6(F.avg(F.abs(c("y") - c("my"))) / 64).alias("ady"))
+    s = R.region_spread(_regions(spark, d))
+    return s.select("img", "label", "n", r6(c("mx") / 64).alias("cx"), r6(c("my") / 64).alias("cy"), r6(c("adx") / 64).alias("adx"), r6(c("ady") / 64).alias("ady"))
 
 
 @query("agg4_colors", "gray", _REG + " SELECT img, label, g // 8 AS color, count(*) AS n FROM reg GROUP BY ALL")
