@@ -99,9 +99,7 @@ def agg6(spark, d):
 
 @query("agg7", "gray", _REG + f", m AS (SELECT img, label, avg(x) AS mx, avg(y) AS my FROM reg GROUP BY ALL) SELECT img, label, {_R6.format(v='avg(abs(x - mx))')} AS mad_x, {_R6.format(v='avg(abs(y - my))')} AS mad_y FROM reg JOIN m USING (img, label) GROUP BY img, label")
 def agg7(spark, d):
-    px = _regions(spark, d)
-    m = px.groupBy("img", "label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    return px.join(m, ["img", "label"]).groupBy("img", "label").agg(r6(F.avg(F.abs(c("x") - c("mx")))).alias("mad_x"), r6(F.avg(F.abs(c("y") - c("my")))).alias("mad_y"))
+    return R.region_spread(_regions(spark, d)).select("img", "label", r6(c("adx")).alias("mad_x"), r6(c("ady")).alias("mad_y"))
 
 
 _BANDS = "count(*) FILTER (WHERE y < 2) + count(*) FILTER (WHERE y >= 62) + count(*) FILTER (WHERE x < 2) + count(*) FILTER (WHERE x >= 62)"

@@ -24,7 +24,7 @@ def same(spark, name, folder, path, view):
     assert sorted(map(tuple, catalog.queries()[name](spark, str(folder)).select(*columns).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["agg4"])
+@pytest.mark.parametrize("name", ["agg4", "agg7"])
 def test_region_spread_follows_the_raster(spark, tmp_path, name):
     rng = np.random.default_rng(4)
     images = np.full((40, 64 * 64), 0.4, np.float32)  # 20 or 160 dark pixels, so that many means lie between two millionths
