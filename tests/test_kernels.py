@@ -1,6 +1,7 @@
 """Kernels against brute force, and properties that hold whatever the image."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -220,6 +221,34 @@ def test_min_cut_and_mixture():
     assert sorted(np.round(weight, 1)) == [0.3, 0.7] and abs(mean.sum() - 27) < 2
 
 
+@pytest.mark.parametrize("shape", [(1, 6), (6, 1), (2, 2), (5, 7), (8, 8)])
+def test_grid_cut_is_the_minimum_cut(shape):
+    rng = np.random.default_rng(shape[0] * 10 + shape[1])
+    h, w = shape
+    n = h * w
+    for smooth in (0.1, 1.0, 5.0):
+        one, two, _ = regions.grid_edges(np.zeros(shape))
+        links, gain = rng.uniform(0, smooth, len(one)), rng.normal(0, 1, n)
+        seeds = rng.choice([0, 128, 128, 128, 255], n).astype(np.uint8)
+        edges = {}
+        for a, b, c in zip(one.tolist(), two.tolist(), links.tolist()):
+            edges[a, b] = edges[b, a] = c
+        for i in range(n):
+            edges[n, i] = 1e9 if seeds[i] == 255 else 0 if seeds[i] == 0 else max(gain[i], 0)
+            edges[i, n + 1] = 1e9 if seeds[i] == 0 else 0 if seeds[i] == 255 else max(-gain[i], 0)
+        want = regions.min_cut(edges, n + 2, n, n + 1)[1][:n]
+        assert (regions.grid_cut(links, gain.reshape(shape), seeds.reshape(shape)).ravel() == want).all()
+
+
+def test_grab_cut_of_noise_takes_less_than_a_second():
+    a = np.random.default_rng(0).integers(0, 256, (64, 64), np.uint8)
+    trimap = np.full((64, 64), 128, np.uint8)
+    trimap[:8], trimap[24:40, 24:40] = 0, 255
+    begin = time.process_time()
+    regions.grab_cut(np.repeat(a[..., None], 3, 2), trimap, 2, 5.0)
+    assert time.process_time() - begin < 1
+
+
 def test_grab_cut_separates_colours():
     a = np.full((16, 16, 3), 240, np.uint8)
     a[4:12, 4:12] = (10, 20, 30)
