@@ -186,10 +186,10 @@ def probability_tables(counts: DataFrame, order: int, size: int) -> tuple[list[D
     The suffix of an n-gram has the same symbol and the context without its first symbol. Lower orders
     count the different symbols that stand before.
     """
-    tables = [counts]
+    tables = [Written(counts)]  # each is made from the one written before it: the texts are counted once
     for k in range(order - 1, 0, -1):
-        tables.append(tables[-1].groupBy((F.col("context") % F.lit(size ** (k - 1))).alias("context"), "symbol").agg(F.count("*").alias("c")))
-    tables = [Written(t) for t in reversed(tables)]
+        tables.append(Written(tables[-1].df.groupBy((F.col("context") % F.lit(size ** (k - 1))).alias("context"), "symbol").agg(F.count("*").alias("c"))))
+    tables.reverse()
     probabilities, backs = [], []
     for k, t in enumerate(tables, 1):
         d1, d2, d3 = discounts(t.df)

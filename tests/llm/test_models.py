@@ -125,6 +125,20 @@ def test_quality_keeps_clean_rejects_junk(spark, tmp_path):
     assert found[2000].perplexity is None
 
 
+def test_quality_reads_the_texts_twice(spark):
+    """Once for the alphabet, once for the counts of all orders."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = docs(spark, [(i, f"text {i} of some words") for i in range(30)]).select("text").mapInArrow(run, "text string")
+    assert quality.train(texts).levels is not None
+    assert seen.value == 60
+
+
 def test_quality_of_many_scripts_sent_or_joined(spark):
     rng = random.Random(9)
     greek, han = [chr(c) for c in range(0x3B1, 0x3C9)], [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
